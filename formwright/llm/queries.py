@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from formwright.llm.common import read
 from formwright.session import shipped
 
+#: Where the public vocabulary files are; a parameter of the operators.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer(name: str) -> str:
+    import importlib.util
+
+    if importlib.util.find_spec("public_tokenizers"):
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    return f"{TOKENIZERS}/{name}"
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -63,3 +77,71 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formwright.llm.suffix import byte_spans
 
     return byte_spans(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op3_quality_trees")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formwright.llm.common import crc_mod
+    from formwright.llm.quality_model import scored, train
+
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs, read(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1))
+    return scored(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+_OP4 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+v AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS v FROM v),
+c AS (SELECT doc_id, v FROM x GROUP BY doc_id, v HAVING count(*) >= 2),
+r AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT x.doc_id, unnest(range(x.i, x.i + 5)) AS p FROM x JOIN c ON x.doc_id = c.doc_id AND x.v = c.v) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+             coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+             len(list_filter(w, lambda x: list_contains([{stop}], x))) AS n_stop
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_words >= 1 AND word_chars / n_words BETWEEN 2.5 AND 12 AND n_symbols / n_words <= 0.15
+       AND (n_words < 30 OR n_stop / n_words >= 0.05) AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
+FROM b
+"""
+
+
+def _stop_list() -> str:
+    from formwright.llm.quality_rules import STOP_WORDS
+
+    return ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query("op4_quality_rules", _OP4.replace("{stop}", _stop_list()))
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formwright.llm.quality_rules import judged
+
+    return judged(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op6_sharding_ring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formwright.llm.sharding import shard
+
+    return shard(read(spark, sf_dir, "documents"))
+
+
+@query("op7_packing_sum_of_squares")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formwright.llm.packing import packed, pieces
+
+    return packed(pieces(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
+@query("op9_langid_unigram")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formwright.llm.common import crc_mod
+    from formwright.llm.langid import predicted, train
+
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs.where(crc_mod("doc_id", 5) != 0), vocabulary_path=tokenizer("piece_bpe_32k.model"))
+    return predicted(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
