@@ -54,17 +54,18 @@ def measures(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
     twice = F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(F.array().cast("array<int>")))
     four = three.withColumns({"_q_starts": F.when(F.size(s) > 0, F.sort_array(F.array_distinct(F.flatten(twice)))).otherwise(F.array().cast("array<int>"))})
     lines, words = F.col("_q_lines"), F.col("_q_words")
-    return four.withColumns(
-        {
-            "n_words": F.size(words).cast("long"),
-            "word_chars": F.length(F.regexp_replace(t, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_lines": F.size(lines).cast("long"),
-            "n_stop_words": F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))).cast("long"),
-            "n_repeat_words": _covered(s, F.col("_q_starts"), width),
-        }
-    ).drop("_q_words", "_q_lines", "_q_hashes", "_q_sorted", "_q_starts")
+    counts = {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.regexp_replace(t, SPACES, "")).cast("long"),
+        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))).cast("long"),
+        "n_repeat_words": _covered(s, F.col("_q_starts"), width),
+    }
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in counts and not c.startswith("_q_")]
+    # a generator of one row: a later filter on the counts cannot be pushed below it, where it would repeat all of the above
+    return four.select(*own, F.inline(F.array(F.struct(*(e.alias(n) for n, e in counts.items())))))
 
 
 def verdict(table: tuple[tuple[str, str | None, int, float, float], ...] = THRESHOLDS) -> Column:
