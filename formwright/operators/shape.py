@@ -17,6 +17,7 @@ from formwright.errors import DriftError, RecordError
 from formwright.functions import values as V
 from formwright.operators import drift as D
 from formwright.operators.infer import infer_columns
+from formwright.plans.fence import fenced
 from formwright.plans.spec import TYPES, Column, Spec, effective
 from formwright.sources.lines import Records, sample
 
@@ -81,7 +82,7 @@ class Shaped:
         for i, c in enumerate(self.columns):
             cell, absent, text = _cells(c, raw, F.col(f"p{i}"), F.col(f"k{i}"))
             cells += [cell.alias(f"c{i}"), F.coalesce(absent, F.lit(True)).alias(f"a{i}"), *([text.alias(f"t{i}")] if self.watching or spec.mode == "strict" or c.required else [])]
-        base = parts.select("seq", "raw", "v", *cells)
+        base = fenced(parts.select("seq", "raw", "v", *cells))
         for i, c in enumerate(self.columns):
             absent, failed = F.col(f"a{i}"), ~F.col(f"a{i}") & F.col(f"c{i}").isNull()
             hint = "; use type json for nested values" if c.type == "string" else ""
@@ -99,7 +100,7 @@ class Shaped:
         if self.watching and self.tree is not None:
             new = F.coalesce(D.events(self.tree, spec.flatten)(F.when(D.may_drift(v, self.tree), raw)), none)
         found = F.filter(F.array(*misfits), lambda x: x.isNotNull()).cast(D.EVENT) if misfits else none
-        return base.select("seq", "raw", *(f"c{i}" for i in range(len(self.columns))), fatal.alias("fatal"), reason.alias("reason"), new.alias("new"), found.alias("misfits"))
+        return fenced(base.select("seq", "raw", *(f"c{i}" for i in range(len(self.columns))), fatal.alias("fatal"), reason.alias("reason"), new.alias("new"), found.alias("misfits")))
 
     @cached_property
     def fates(self) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formwright.errors import SourceError
+from formwright.plans.fence import fenced
 
 #: The largest record that is read; a longer one is a reject.
 MOST_BYTES = 256 * 1024 * 1024
@@ -72,24 +73,22 @@ def increment(df: DataFrame, column: str, last, upper) -> DataFrame:
     return df.where((F.col(column) > F.lit(last)) & (F.col(column) <= F.lit(upper)))
 
 
-def valid(raw: Column) -> tuple[Column, Column]:
-    """(is one JSON value, that value as a variant). A parser that stops early sees a second value, or none, in one of
-    two frames."""
-    array, wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"r":'), raw, F.lit("}")))
-    first = F.try_variant_get(array, "$[0]", "variant")
-    ok = array.isNotNull() & wrapped.isNotNull() & first.isNotNull() & F.try_variant_get(array, "$[1]", "variant").isNull()
-    return ok, first
-
-
 def records(lines: DataFrame, most_bytes: int = MOST_BYTES) -> Records:
-    """Blank lines vanish, after numbering. What is not one JSON value, or too long, is bad, and reading goes on."""
+    """Blank lines vanish, after numbering. What is not one JSON value, or too long, is bad, and reading goes on.
+
+    A variant parser stops after the first value. So each line is parsed in two frames, as an array's only element and as an
+    object's only value: whatever follows the value breaks one of them, or makes a second element.
+    """
     some = lines.where(F.col("raw").isNotNull() & ~F.col("raw").rlike(r"^[\s]*$"))
     fits = F.octet_length("raw") <= most_bytes
-    ok, v = valid(F.when(fits, F.col("raw")))
-    good = some.where(fits & ok).select("seq", "raw", v.alias("v"))
-    error = F.when(~fits, F.lit(f"record exceeds {most_bytes} bytes")).otherwise(F.lit("not a valid JSON value"))
-    bad = some.where(~F.coalesce(fits & ok, F.lit(False))).select(F.col("seq").alias("line"), error.alias("error"), F.regexp_replace("raw", r"[ \r]+$", "").alias("raw"))
-    return Records(good, bad)
+    raw = F.when(fits, F.col("raw"))
+    array, wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"r":'), raw, F.lit("}")))
+    parsed = some.select("seq", "raw", fits.alias("fits"), array.alias("a"), wrapped.isNotNull().alias("w"))
+    parsed = parsed.select("seq", "raw", "fits", (F.col("w") & F.try_variant_get("a", "$[1]", "variant").isNull()).alias("w"), F.try_variant_get("a", "$[0]", "variant").alias("v"))
+    parsed = fenced(parsed)
+    ok = F.col("fits") & F.col("w") & F.col("v").isNotNull()
+    error = F.when(~F.col("fits"), F.lit(f"record exceeds {most_bytes} bytes")).otherwise(F.lit("not a valid JSON value"))
+    return Records(parsed.where(ok).select("seq", "raw", "v"), parsed.where(~ok).select(F.col("seq").alias("line"), error.alias("error"), F.regexp_replace("raw", r"[ \r]+$", "").alias("raw")))
 
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[\]{},]', re.S)
