@@ -108,10 +108,10 @@ def elements(text: str) -> Iterator[tuple[int, str | None, str | None]]:
             depth += 1
         elif c in "]}" and depth:
             depth -= 1
-        elif c == "}":
+        elif c == "}" and not depth:
             yield index + 1, None, "stray `}` in the array"
             return
-        elif c in ",]":
+        elif c in ",]" and not depth:
             part = body[begin : m.start()].strip(" \t\r\n")
             if part:
                 index += 1

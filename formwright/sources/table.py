@@ -272,7 +272,8 @@ class Table:
         """Commit rows. mode: create (any earlier version is no parent), append or merge. A column __seq, if there,
         orders the rows (last wins in a merge) and is not stored. All checks come before the first file."""
         order = "__seq" in rows.columns
-        schema = schema or T.StructType([f for f in rows.schema.fields if f.name != "__seq"])
+        # without a schema every column is optional: whether a plan may give nulls is no promise of its author
+        schema = schema or T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name != "__seq"])
         prior = self.meta if mode != "create" else None
         new = fields_of(schema)
         if prior:
