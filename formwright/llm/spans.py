@@ -6,6 +6,8 @@ Four passes narrow them down; each runs over the same buckets of documents, deal
 to ranges of the hash space in between. Messages are binary columns, deduplicated within a bucket before they move, so
 a passage found in a third of the documents costs one entry per bucket.
 
+Texts that are whole copies of a smaller document's are left out beforehand: all their windows are repeated.
+
 1. Anchors. Every window names its smallest k-mer (leftmost of equals; the window holds ``width - k + 1`` of them).
    Equal windows name equal k-mers, so a window can repeat only if its anchor occurs in two documents. About two of
    ``width - k + 2`` positions are anchors. Buckets send 46-bit hashes, ranges answer which were seen in two documents.
@@ -14,11 +16,11 @@ a passage found in a third of the documents costs one entry per bucket.
    after it, and before it. An edge that is the only way out of one anchor and the only way into the next never
    branches; a run of such edges is one compacted path. Everything on a path occurs in the same places, so a window
    inside it repeats exactly if the path's smallest document is smaller: source coordinates settle it at once.
-3. Windows over a branch or an end of a path send their own 64-bit hash and smallest document.
+3. Windows over a branch or an end of a path send their own 64-bit hash and smallest document; the answer is one bit.
 4. Each bucket marks the covered tokens of its documents and gives one row per document.
 
 Memory: a task holds one bucket's text (``bucket_bytes``) or one range's messages, and works through a bucket in slices of
-about a megabyte (a longer document is a slice of its own). Hashes have 64 bits where they decide; two
+a quarter of a megabyte (a longer document is a slice of its own). Hashes have 64 bits where they decide; two
 different sequences are confused with probability 2^-64 a pair.
 """
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +92,7 @@ class Slice:
 
     rows: np.ndarray  # of the bucket's table
     doc: np.ndarray  # id per document
-    null: np.ndarray  # documents without an id take no part
+    null: np.ndarray  # documents without an id, and copies, take no part
     first: np.ndarray  # per document: its first token, and one behind its last
     last: np.ndarray
     sums: np.ndarray  # running hash sums over the tokens
@@ -105,8 +108,25 @@ class Slice:
     anchor_doc: np.ndarray
 
 
-def slices(table: pa.Table, rule: Rule, most: int = 1_000_000) -> Iterator[Slice]:
+def copies_in(table: pa.Table, replies: pa.Table) -> np.ndarray:
+    """Which rows have the very text of a document with a smaller id: all their windows are found there, so they need
+    neither ask nor be asked about. Told by id and MD5 sum, in messages of part -3."""
+    told: dict[int, set[bytes]] = {}
+    mine = replies.filter(pc.equal(replies.column("part"), -3))
+    for a, b in zip(mine.column("a").to_pylist(), mine.column("b").to_pylist(), strict=True):
+        told.setdefault(int.from_bytes(a, "big", signed=True), set()).add(b)
+    out = np.zeros(table.num_rows, bool)
+    if told:
+        doc, null = ids(table.column("doc_id"))
+        start, end, data = utf8(table.column("text"))
+        for i in np.flatnonzero(np.isin(doc, np.fromiter(told, np.int64, len(told))) & ~null).tolist():
+            out[i] = hashlib.md5(data[start[i] : end[i]]).digest() in told[int(doc[i])]
+    return out
+
+
+def slices(table: pa.Table, rule: Rule, copies: np.ndarray, most: int = 250_000) -> Iterator[Slice]:
     doc, null = ids(table.column("doc_id"))
+    null |= copies
     start, end, data = utf8(table.column("text"))
     size = end - start
     lo = 0
@@ -194,6 +214,13 @@ def _replies(sender: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
     return pa.table([pa.array(np.full(len(cuts), -1), pa.int64()), pa.array(sender[cuts], pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["part", "bucket", "a", "b", "c", "d"])
 
 
+def _by_document(h: np.ndarray, doc: np.ndarray, parts: int, bucket: int, more: list[np.ndarray]) -> pa.Table:
+    """Messages in which a range's entries go by document: runs of equal ids cost a shuffle's compression next to nothing."""
+    part = _deal(h, parts)
+    order = np.lexsort((h, doc, part))
+    return _messages(part[order], bucket, [x[order] for x in (h, doc, *more)])
+
+
 def _runs(sorted_key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])) if len(sorted_key) else np.zeros(0, np.int64)
 
@@ -201,10 +228,12 @@ def _runs(sorted_key: np.ndarray) -> np.ndarray:
 # 1: which anchors occur in two documents
 
 
-def _sketch(rule: Rule, parts: int) -> Callable[[pa.Table], pa.Table]:
-    def sketch(table: pa.Table) -> pa.Table:
+def _sketch(rule: Rule, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def sketch(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _messages(np.zeros(0, np.int64), 0, [np.zeros(0, np.uint64)])
         key, doc = [], []
-        for s in slices(table, rule):
+        for s in slices(table, rule, copies_in(table, replies)):
             key.append(s.hashes >> _U(64 - SKETCH_BITS))
             doc.append(s.doc[s.anchor_doc])
         key, doc = np.concatenate([np.zeros(0, np.uint64), *key]), np.concatenate([np.zeros(0, np.int64), *doc])
@@ -278,9 +307,9 @@ def _nodes(rule: Rule, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def nodes(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _messages(np.zeros(0, np.int64), 0, [np.zeros(0, np.uint64)])
-        twice = np.sort(_column(replies, "a", np.uint64))
+        twice = np.sort(_column(replies.filter(pc.equal(replies.column("part"), -1)), "a", np.uint64))
         got: list[list[np.ndarray]] = [[], [], [], []]
-        for s in slices(table, rule):
+        for s in slices(table, rule, copies_in(table, replies)):
             keep, _ = _found(twice, s.hashes >> _U(64 - SKETCH_BITS))
             after, before = _edges(s, rule)
             for to, x in zip(got, (s.hashes, s.doc[s.anchor_doc].view(np.uint64), after, before), strict=True):
@@ -294,7 +323,7 @@ def _nodes(rule: Rule, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
         # the flag of several documents travels in the edge after: its lowest bit is free
         after = _one(after, at) >> _U(1) << _U(1) | (low != high).astype(np.uint64)
-        return _messages(_deal(h[at], parts), table.column("bucket")[0].as_py(), [h[at], low, after, _one(before, at)])
+        return _by_document(h[at], low, parts, table.column("bucket")[0].as_py(), [after, _one(before, at)])
 
     return nodes
 
@@ -318,6 +347,7 @@ def _compact(table: pa.Table) -> pa.Table:
 
 class _Graph:
     def __init__(self, replies: pa.Table):
+        replies = replies.filter(pc.equal(replies.column("part"), -1))
         h = _column(replies, "a", np.uint64)
         order = np.argsort(h, kind="stable")
         self.h, self.low, self.ways = h[order], _column(replies, "b", np.int64)[order], _column(replies, "c", np.uint8)[order]
@@ -344,20 +374,11 @@ class _Graph:
 def _windows(rule: Rule, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         none = _messages(np.zeros(0, np.int64), 0, [np.zeros(0, np.uint64)])
-        if not table.num_rows or not replies.num_rows:
+        if not table.num_rows:
             return none
-        graph, hs, docs = _Graph(replies), [], []
-        for s in slices(table, rule):
-            h, doc = _open(s, graph, rule)[1:]
-            order = np.lexsort((doc, h))
-            at = _runs(h[order])
-            hs.append(h[order][at])
-            docs.append(doc[order][at])
-        h, doc = np.concatenate(hs), np.concatenate(docs)
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        at = _runs(h)
-        return _messages(_deal(h[at], parts), table.column("bucket")[0].as_py(), [h[at], doc[at]]) if len(at) else none
+        graph = _Graph(replies)
+        h, doc = _own_windows(table, rule, graph, copies_in(table, replies))
+        return _by_document(h, doc, parts, table.column("bucket")[0].as_py(), []) if len(h) else none
 
     return windows
 
@@ -368,59 +389,75 @@ def _open(s: Slice, graph: _Graph, rule: Rule) -> tuple[np.ndarray, np.ndarray,
     return at, stretch(s.sums, s.starts[at], s.starts[at] + rule.width), s.doc[s.of[at]]
 
 
+def _own_windows(table: pa.Table, rule: Rule, graph: _Graph, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a bucket's open windows, ascending, each with its smallest document in the bucket."""
+    hs, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if len(graph.h):
+        for s in slices(table, rule, copies):
+            _, h, doc = _open(s, graph, rule)
+            order = np.lexsort((doc, h))
+            at = _runs(h[order])
+            hs.append(h[order][at])
+            docs.append(doc[order][at])
+    h, doc = np.concatenate(hs), np.concatenate(docs)
+    order = np.lexsort((doc, h))
+    at = _runs(h[order])
+    return h[order][at], doc[order][at]
+
+
 def _smallest(table: pa.Table) -> pa.Table:
-    h, doc, sender = _column(table, "a", np.uint64), _column(table, "b", np.int64), _senders(table, 8)
+    """One bit for each entry of each message, in its order: has another bucket a smaller document?"""
+    h, doc = _column(table, "a", np.uint64), _column(table, "b", np.int64)
+    sizes = [len(x.as_buffer()) // 8 for x in table.column("a")]
     order = np.argsort(h, kind="stable")
-    h, doc, sender = h[order], doc[order], sender[order]
-    at = _runs(h)
-    least = np.repeat(np.minimum.reduceat(doc, at), np.diff(at, append=len(h)))
-    keep = least < doc
-    return _replies(sender[keep], [h[keep], least[keep]])
+    at = _runs(h[order])
+    least = np.empty(len(h), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(at, append=len(h)))
+    edge = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    bits = [np.packbits(least[s:e] < doc[s:e]).tobytes() for s, e in zip(edge, edge[1:], strict=False)]
+    none = pa.array([None] * len(bits), pa.binary())
+    of = [int(p).to_bytes(8, "little") for p in table.column("part").to_pylist()]
+    return pa.table([pa.array(np.full(len(bits), -2), pa.int64()), table.column("bucket"), pa.array(bits, pa.binary()), pa.array(of, pa.binary()), none, none], ["part", "bucket", "a", "b", "c", "d"])
 
 
 # 4: the documents
 
 
-def _covered(rule: Rule, graph: _Graph, least_h: np.ndarray, least_doc: np.ndarray, local_h: np.ndarray, local_doc: np.ndarray, s: Slice) -> np.ndarray:
-    """Which tokens of the slice go."""
+def _covered(rule: Rule, graph: _Graph, own_h: np.ndarray, own_doc: np.ndarray, elsewhere: np.ndarray, s: Slice) -> np.ndarray:
+    """Which tokens of the slice go. elsewhere: of the bucket's open windows, those with a smaller document elsewhere."""
     out = np.zeros(len(s.sums), np.int64)
     if len(s.starts) and len(graph.h):
         repeated, inside, low = graph.windows(s, rule)
         gone = repeated & inside & (low < s.doc[s.of])
         at, h, doc = _open(s, graph, rule)
-        hit, i = _found(local_h, h)
-        gone[at[hit]] = local_doc[i[hit]] < doc[hit]
-        hit, i = _found(least_h, h)
-        gone[at[hit]] |= least_doc[i[hit]] < doc[hit]
+        i = np.searchsorted(own_h, h)
+        gone[at] = elsewhere[i] | (own_doc[i] < doc)
         start = s.starts[gone]
         np.add.at(out, start, 1)
         np.add.at(out, start + rule.width, -1)
     return np.cumsum(out)[:-1] > 0
 
 
-def _documents(rule: Rule, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _documents(rule: Rule, parts: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def documents(table: pa.Table, replies: pa.Table) -> pa.Table:
-        graph = _Graph(replies.select(["bucket", "a", "b", "c"]).filter(pc.equal(replies.column("part"), -1)))
+        graph, copies = _Graph(replies), copies_in(table, replies)
+        own_h, own_doc = _own_windows(table, rule, graph, copies)
+        elsewhere = np.zeros(len(own_h), bool)
+        part = _deal(own_h, parts)
+        asked = np.lexsort((own_h, own_doc, part))
+        edge = np.searchsorted(part[asked], np.arange(parts + 1))
         answers = replies.filter(pc.equal(replies.column("part"), -2))
-        h, doc = _column(answers, "a", np.uint64), _column(answers, "b", np.int64)
-        order = np.argsort(h, kind="stable")
-        least_h, least_doc = h[order], doc[order]
-        hs, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        if len(graph.h):
-            for s in slices(table, rule):
-                _, h, doc = _open(s, graph, rule)
-                order = np.lexsort((doc, h))
-                at = _runs(h[order])
-                hs.append(h[order][at])
-                docs.append(doc[order][at])
-        h, doc = np.concatenate(hs), np.concatenate(docs)
-        order = np.lexsort((doc, h))
-        at = _runs(h[order])
-        local_h, local_doc = h[order][at], doc[order][at]
+        for bits, of in zip(answers.column("a").to_pylist(), answers.column("b").to_pylist(), strict=True):
+            p = int.from_bytes(of, "little")
+            mine = asked[edge[p] : edge[p + 1]]
+            elsewhere[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
         n, removed, spans, sha, texts = [], [], [], [], []
         whole, _, data = utf8(table.column("text"))
-        for s in slices(table, rule):
-            gone = _covered(rule, graph, least_h, least_doc, local_h, local_doc, s)
+        for s in slices(table, rule, copies):
+            gone = _covered(rule, graph, own_h, own_doc, elsewhere, s)
+            for i, f, t in zip(s.rows.tolist(), s.first.tolist(), s.last.tolist(), strict=True):
+                if copies[i] and t - f >= rule.width:
+                    gone[f:t] = True
             edges = np.diff(gone.astype(np.int8), prepend=0)
             lost = np.concatenate([[0], np.cumsum(gone)])
             for i, f, t in zip(s.rows.tolist(), s.first.tolist(), s.last.tolist(), strict=True):
@@ -449,7 +486,7 @@ def _documents(rule: Rule, with_text: bool) -> Callable[[pa.Table, pa.Table], pa
     return documents
 
 
-def repeated_spans(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, bucket_bytes: int = 8_000_000, items_per_range: int = 1_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, bucket_bytes: int = 6_000_000, items_per_range: int = 500_000) -> DataFrame:
     """(doc_id, n_tokens, n_removed, n_spans, kept_sha256), one row per row of docs; with_text adds kept (the rest as
     bytes; null if nothing was removed) and the columns named in keep, as own_<name>.
 
@@ -461,17 +498,29 @@ def repeated_spans(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: st
     items = total // (6 if rule.words else 1) * 2 // (rule.span + 1)
     parts = int(max(16, -(-items // items_per_range)))
     own = [F.col(c).alias(f"own_{c}") for c in keep]
-    bucketed = docs.select(F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(buckets)).alias("bucket"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *own).groupBy("bucket")
+
+    def bucket(c: str):
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(buckets)).alias("bucket")
+
+    bucketed = docs.select(bucket(doc_id), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *own).groupBy("bucket")
 
     def asked(messages: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
         return messages.groupBy("part").applyInArrow(answer, MESSAGE)
 
-    seen = asked(bucketed.applyInArrow(_sketch(rule, parts), MESSAGE), _seen_twice)
-    graph = asked(bucketed.cogroup(seen.groupBy("bucket")).applyInArrow(_nodes(rule, parts), MESSAGE), _compact)
-    least = asked(bucketed.cogroup(graph.groupBy("bucket")).applyInArrow(_windows(rule, parts), MESSAGE), _smallest)
-    answers = graph.unionAll(least.withColumn("part", F.lit(-2).cast("long")))
+    def told(*replies: DataFrame):
+        return reduce(DataFrame.unionAll, replies, copies).groupBy("bucket")
+
+    # texts that a smaller document has too, told to their buckets; a text with many copies is one partial row per task
+    sums = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.col(text).cast("string").cast("binary")).alias("md5")).where("doc_id is not null and md5 is not null")
+    least_of = sums.groupBy("md5").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("md5", "least")
+    nothing = F.lit(None).cast("binary")
+    copies = sums.join(least_of, "md5").where("doc_id > least").select(F.lit(-3).cast("long").alias("part"), bucket("doc_id"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("a"), F.unhex("md5").alias("b"), nothing.alias("c"), nothing.alias("d"))
+
+    seen = asked(bucketed.cogroup(told()).applyInArrow(_sketch(rule, parts), MESSAGE), _seen_twice)
+    graph = asked(bucketed.cogroup(told(seen)).applyInArrow(_nodes(rule, parts), MESSAGE), _compact)
+    least = asked(bucketed.cogroup(told(graph)).applyInArrow(_windows(rule, parts), MESSAGE), _smallest)
     schema = "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
         kinds = dict(docs.dtypes)
         schema += ", kept binary" + "".join(f", own_{c} {kinds[c]}" for c in keep)
-    return bucketed.cogroup(answers.groupBy("bucket")).applyInArrow(_documents(rule, with_text), schema)
+    return bucketed.cogroup(told(graph, least)).applyInArrow(_documents(rule, parts, with_text), schema)
