@@ -245,13 +245,13 @@ def _sketch(rule: Rule, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         part = (key * _U(parts) >> _U(SKETCH_BITS)).astype(np.int64)
         # within a range, gaps between ascending hashes: 4 bytes each, but where a gap is longer
         out, cuts = [], np.flatnonzero(np.diff(part, prepend=-1))
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=False):
             gap = np.diff(key[lo:hi])
             fits = not len(gap) or int(gap.max()) < 1 << 32
             out.append((key[lo].tobytes() if fits else b"") + (gap.astype(np.uint32) if fits else key[lo:hi]).tobytes())
         bucket = table.column("bucket")[0].as_py()
-        flags = [np.packbits(many[lo:hi]).tobytes() for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True)]
-        counts = [np.int64(hi - lo).tobytes() for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True)]
+        flags = [np.packbits(many[lo:hi]).tobytes() for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=False)]
+        counts = [np.int64(hi - lo).tobytes() for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=False)]
         return pa.table([pa.array(part[cuts], pa.int64()), pa.array(np.full(len(cuts), bucket), pa.int64()), pa.array(out, pa.binary()), pa.array(flags, pa.binary()), pa.array(counts, pa.binary()), pa.array([None] * len(cuts), pa.binary())], ["part", "bucket", "a", "b", "c", "d"])
 
     return sketch
