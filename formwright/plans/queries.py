@@ -119,39 +119,39 @@ for _name, _path, _type, _sql in (
         return shaped(props(spark, sf_dir), Column("id", "int64"), Column("x", type_, path), drift=Drift("ignore")).table
 
 
-def one(field: Col, type_: str, transform: str | None = None, source: str = "events", seq: str = "event_id", mode: str = "infer"):
-    """A query of one column over a field made from a table."""
+def one(field: Callable[[], Col], type_: str, transform: str | None = None, source: str = "events", seq: str = "event_id", mode: str = "infer"):
+    """A query of one column over a field made from a table; a function, as columns need a session and this module must not."""
 
     def run(spark, sf_dir):
-        df = as_json(table(spark, sf_dir, source), seq, id=F.col(seq), x=field)
+        df = as_json(table(spark, sf_dir, source), seq, id=F.col(seq), x=field())
         return shaped(df, Column("id", "int64"), Column("x", type_, None, transform), mode=mode, drift=Drift("ignore")).table
 
     return run
 
 
 _E, _O = "SELECT event_id AS id, {} AS x FROM events", "SELECT o_orderkey AS id, {} AS x FROM orders"
-query("q_trf_lower", _E.format("lower(event_type)"))(one(F.initcap("event_type"), "string", "lowercase"))
-query("q_trf_upper", _E.format("upper(event_type)"))(one(F.col("event_type"), "string", "uppercase"))
-query("q_trf_trim", _E.format("event_type"))(one(F.concat(F.lit("\t  "), F.col("event_type"), F.lit(" \n　")), "string", "trim"))
-query("q_trf_json_encode", _E.format("'{\"n\":' || event_id || '}'"))(one(F.struct(F.col("event_id").alias("n")), "json", "json_encode"))
-query("q_trf_to_string", _E.format("user_id::VARCHAR"))(one(F.col("user_id"), "string", "to_string"))
-query("q_trf_cents", _O.format("round(o_totalprice * 100)::BIGINT"))(one(F.col("o_totalprice"), "int64", "dollars_to_cents", "orders", "o_orderkey"))
-query("q_trf_abs", _E.format("abs(500 - user_id)"))(one(F.lit(500) - F.col("user_id"), "int64", "abs"))
-query("q_trf_empty_to_null", _E.format("CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_type END"))(one(F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("event_type")), "string", "empty_to_null"))
-query("q_coe_int_from_float", _E.format("CASE WHEN event_id % 2 = 0 THEN event_id ELSE NULL END"))(one(F.col("event_id") + F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(0.5), "int64"))
-query("q_coe_int_from_str", _E.format("CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END"))(one(F.concat(F.when(F.col("event_id") % 3 == 0, " ").otherwise("+"), F.col("user_id").cast("string")), "int64"))
-query("q_coe_float_from_str", _E.format("CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id * 0.5 END::DOUBLE"))(one(F.concat((F.col("user_id") * F.lit(0.5)).cast("string"), F.when(F.col("event_id") % 3 == 0, "d").otherwise("")), "float64"))
-query("q_coe_float_from_int", _E.format("user_id::DOUBLE"))(one(F.col("user_id"), "float64"))
-query("q_coe_string_scalar", _E.format("CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END"))(one(F.col("user_id") % 2 == 0, "string"))
-query("q_coe_bool", _E.format("user_id % 2 = 0"))(one(F.col("user_id") % 2 == 0, "bool"))
-query("q_coe_bool_refused", _E.format("NULL::BOOLEAN"))(one((F.col("user_id") % 2 == 0).cast("string"), "bool"))
-query("q_coe_date_str", _E.format("CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts::DATE END"))(one(F.when(F.col("event_id") % 4 == 0, "2026-02-30").otherwise(F.date_format("ts", "yyyy-MM-dd")), "date"))
-query("q_coe_date_local", _E.format("ts::DATE"))(one(F.concat(stamp("ts"), F.lit("-05:00")), "date"))
-query("q_coe_date_int", _E.format("DATE '1970-01-01' + user_id::INT"))(one(F.col("user_id"), "date"))
-query("q_coe_ts_str", _E.format("ts + INTERVAL 5 HOUR"))(one(F.concat(stamp("ts"), F.lit("-05:00")), "timestamp"))
-query("q_coe_ts_local", _E.format("ts"))(one(stamp("ts"), "timestamp"))
-query("q_coe_ts_int", _E.format("make_timestamp(user_id * 1000)"))(one(F.col("user_id"), "timestamp"))
-query("q_coe_json", _E.format("'{\"a\":\"' || event_type || '\",\"b\":' || event_id || '}'"))(one(F.struct(F.col("event_id").alias("b"), F.col("event_type").alias("a")), "json"))
+query("q_trf_lower", _E.format("lower(event_type)"))(one(lambda: F.initcap("event_type"), "string", "lowercase"))
+query("q_trf_upper", _E.format("upper(event_type)"))(one(lambda: F.col("event_type"), "string", "uppercase"))
+query("q_trf_trim", _E.format("event_type"))(one(lambda: F.concat(F.lit("\t  "), F.col("event_type"), F.lit(" \n　")), "string", "trim"))
+query("q_trf_json_encode", _E.format("'{\"n\":' || event_id || '}'"))(one(lambda: F.struct(F.col("event_id").alias("n")), "json", "json_encode"))
+query("q_trf_to_string", _E.format("user_id::VARCHAR"))(one(lambda: F.col("user_id"), "string", "to_string"))
+query("q_trf_cents", _O.format("round(o_totalprice * 100)::BIGINT"))(one(lambda: F.col("o_totalprice"), "int64", "dollars_to_cents", "orders", "o_orderkey"))
+query("q_trf_abs", _E.format("abs(500 - user_id)"))(one(lambda: F.lit(500) - F.col("user_id"), "int64", "abs"))
+query("q_trf_empty_to_null", _E.format("CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_type END"))(one(lambda: F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("event_type")), "string", "empty_to_null"))
+query("q_coe_int_from_float", _E.format("CASE WHEN event_id % 2 = 0 THEN event_id ELSE NULL END"))(one(lambda: F.col("event_id") + F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(0.5), "int64"))
+query("q_coe_int_from_str", _E.format("CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END"))(one(lambda: F.concat(F.when(F.col("event_id") % 3 == 0, " ").otherwise("+"), F.col("user_id").cast("string")), "int64"))
+query("q_coe_float_from_str", _E.format("CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id * 0.5 END::DOUBLE"))(one(lambda: F.concat((F.col("user_id") * F.lit(0.5)).cast("string"), F.when(F.col("event_id") % 3 == 0, "d").otherwise("")), "float64"))
+query("q_coe_float_from_int", _E.format("user_id::DOUBLE"))(one(lambda: F.col("user_id"), "float64"))
+query("q_coe_string_scalar", _E.format("CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END"))(one(lambda: F.col("user_id") % 2 == 0, "string"))
+query("q_coe_bool", _E.format("user_id % 2 = 0"))(one(lambda: F.col("user_id") % 2 == 0, "bool"))
+query("q_coe_bool_refused", _E.format("NULL::BOOLEAN"))(one(lambda: (F.col("user_id") % 2 == 0).cast("string"), "bool"))
+query("q_coe_date_str", _E.format("CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts::DATE END"))(one(lambda: F.when(F.col("event_id") % 4 == 0, "2026-02-30").otherwise(F.date_format("ts", "yyyy-MM-dd")), "date"))
+query("q_coe_date_local", _E.format("ts::DATE"))(one(lambda: F.concat(stamp("ts"), F.lit("-05:00")), "date"))
+query("q_coe_date_int", _E.format("DATE '1970-01-01' + user_id::INT"))(one(lambda: F.col("user_id"), "date"))
+query("q_coe_ts_str", _E.format("ts + INTERVAL 5 HOUR"))(one(lambda: F.concat(stamp("ts"), F.lit("-05:00")), "timestamp"))
+query("q_coe_ts_local", _E.format("ts"))(one(lambda: stamp("ts"), "timestamp"))
+query("q_coe_ts_int", _E.format("make_timestamp(user_id * 1000)"))(one(lambda: F.col("user_id"), "timestamp"))
+query("q_coe_json", _E.format("'{\"a\":\"' || event_type || '\",\"b\":' || event_id || '}'"))(one(lambda: F.struct(F.col("event_id").alias("b"), F.col("event_type").alias("a")), "json"))
 
 
 def flawed(spark, sf_dir) -> DataFrame:
