@@ -18,7 +18,7 @@ def main() -> None:
     from formwright.session import build
 
     top = tempfile.mkdtemp(prefix="formwright-bench-")
-    spark = build("bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{top}/checkpoints"})
+    spark = build("bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g", "spark.sql.files.openCostInBytes": "512k", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{top}/checkpoints"})
     spark.sparkContext.setLogLevel("ERROR")
     from formwright.operators.shape import Shaped
     from formwright.plans import queries as Q
@@ -28,7 +28,7 @@ def main() -> None:
 
     # the input as a file of JSON lines, as the published numbers have it
     path = f"{top}/events"
-    Q.events_json(spark, sf_dir).select("raw").write.text(path)
+    Q.events_json(spark, sf_dir).coalesce(1).select("raw").write.text(path)
     rows = spark.read.text(path).count()
     columns = (Q.Column("id", "int64", required=True), Q.Column("at", "timestamp", "ts"), Q.Column("user", "int64", "user.id"), Q.Column("kind", "string", "type", "uppercase"), Q.Column("value", "float64"), Q.Column("tags", "json"))
 

@@ -48,7 +48,8 @@ def stamp(c: str) -> Col:
 
 
 def as_json(df: DataFrame, seq: str, **fields: Col) -> DataFrame:
-    """(seq, raw): JSON lines made from a table."""
+    """(seq, raw): JSON lines made from a table. The test tables are one file each, which one task would read and parse."""
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df.select(F.col(seq).cast("long").alias("seq"), F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("raw"))
 
 
