@@ -149,7 +149,9 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # a token matched in normalized text can come from any text
+        self.added = [""] if self.tokenizer.normalizer and any(t.normalized for t in added) else [t.content for t in added]
         self.fast = None
         if ranks := _ranks(path):
             import tiktoken
@@ -184,14 +186,15 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, those of the tokenizer over the whole text.
 
     A byte-level token has a space only in front, and white space in a row is one token but for its last. So a text whose
-    spaces all stand alone between other characters is cut before each space, and words met before are looked up.
+    spaces all stand alone between other characters is cut before each space, and words met before are looked up. A text
+    with the content of an added token, such as <|endoftext|>, is encoded as a whole, as the file has it.
     """
     words, out = words_for(path), []
     get = words.__getitem__
     for t in texts:
         if len(words) > _MOST_KNOWN:
             words.clear()
-        if irregular(t):
+        if irregular(t) or any(a in t for a in words.added):
             out.append(np.array(words.whole(t), "<u4").tobytes() if t else b"")
         else:
             first, *rest = t.split(" ")
