@@ -98,10 +98,18 @@ def plan(counts: dict[int, int], capacity: int, most_items: int = 60_000) -> lis
         alike: dict[tuple[int, ...], int] = {}
         for b in sum_of_squares(now, capacity):
             alike[tuple(b)] = alike.get(tuple(b), 0) + factor
-        # in all rounds but the last, a bin's room is filled by the rounds below only if it stays open: reopen the poor ones
-        for pattern, times in alike.items():
-            if factor > 1 and sum(pattern) < 0.97 * capacity:
+        # in all rounds but the last, a bin's room is filled by the rounds below only if it stays open: reopen the poor ones,
+        # the emptiest first, as far as the next round can take them
+        below = max(1, factor // 4)
+        again = most_items * below if factor > 1 else 0
+        for pattern, times in sorted(alike.items(), key=lambda x: sum(x[0])):
+            if sum(pattern) < 0.97 * capacity and len(pattern) * times <= again:
+                again -= len(pattern) * times
                 continue
+            if sum(pattern) < 0.97 * capacity and again >= len(pattern) * factor:
+                some = again // (len(pattern) * factor) * factor
+                again -= len(pattern) * some
+                times -= some
             offset = 0
             for s in pattern:
                 out.append((s, used[s], times, sequence, offset))
@@ -110,7 +118,7 @@ def plan(counts: dict[int, int], capacity: int, most_items: int = 60_000) -> lis
                 offset += s
             sequence += times
         total = sum(left.values())
-        factor = 1 if factor == 1 else max(1, min(factor // 4, -(-total // most_items)))
+        factor = min(below, max(1, -(-total // most_items)))
     return out
 
 
