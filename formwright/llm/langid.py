@@ -1,7 +1,7 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
-The pieces are those of a fixed public vocabulary that consist of letters and are short, single letters always
-included. A word's probability in a language is the sum, over all ways to cut it into pieces, of the products of the
+The pieces are all those of a fixed public vocabulary that consist of letters, with their mark of a word's start, and every
+single letter of the labelled sample. A letter beyond these has a probability learned per language. A word's probability in a language is the sum, over all ways to cut it into pieces, of the products of the
 pieces' probabilities; a forward pass gives it. A text's words are independent, so a text's log-probability is a sum
 over its words. Piece probabilities per language are fitted on labelled documents by expectation maximisation over
 the same lattice, from the words' counts.
@@ -22,21 +22,23 @@ from pyspark.sql import functions as F
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST_WORD = 24  # a longer run of letters is cut into stretches of this length
 UNKNOWN = "und"
+START = "▁"  # stands before a word, as in the vocabulary
+_ALL_LETTERS = 140_000  # letters that Unicode has, about
 
 
-def vocabulary(path: str, longest: int = 5) -> list[str]:
-    """Lower-case letter pieces of a sentencepiece model file, up to a length."""
+def vocabulary(path: str) -> list[str]:
+    """Lower-case letter pieces of a sentencepiece model file, and the mark of a word's start alone or before letters."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    got = {model.id_to_piece(i).lstrip("▁").lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in got if 0 < len(p) <= longest and LETTERS.fullmatch(p))
+    got = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
+    return sorted({p for p in got if LETTERS.fullmatch(p.removeprefix(START))} | {START})
 
 
 def words_of(text: str | None) -> list[str]:
     out = []
     for w in LETTERS.findall((text or "").lower()):
-        out += [w] if len(w) <= LONGEST_WORD else [w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)]
+        out += [START + w] if len(w) <= LONGEST_WORD else [START + w[:LONGEST_WORD], *(w[i : i + LONGEST_WORD] for i in range(LONGEST_WORD, len(w), LONGEST_WORD))]
     return out
 
 
@@ -133,7 +135,14 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], prior: dict[str, i
     k = len(pieces)
     table = np.zeros((k + 1, max(1, len(langs))))
     table[:k] = 1.0 / max(1, k)
+    # the mass of letters met once (Good and Turing), spread over the letters not met
     unseen = np.full(max(1, len(langs)), 1e-7)
+    for c, lang in enumerate(langs):
+        letters: dict[str, int] = {}
+        for w, n in counts[lang].items():
+            for x in w:
+                letters[x] = letters.get(x, 0) + n
+        unseen[c] = (sum(n == 1 for n in letters.values()) + 0.5) / (sum(letters.values()) + 1) / _ALL_LETTERS
     for _ in range(rounds if langs else 0):
         new = np.full_like(table, smooth)
         for c, lang in enumerate(langs):
@@ -168,27 +177,33 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", vocabulary_path: str = "", most_docs: int = 4000, most_words: int = 30_000) -> Model:
-    """Fit on a bounded sample of labelled rows: ``most_docs`` in all, chosen by a hash of the id, the same at each run.
+    """Fit on a bounded sample of labelled rows: about ``most_docs`` of each language, chosen by a hash of the id (of the
+    text where that is null), the same at each run. The prior is that of all labelled rows.
 
     Of each language, the ``most_words`` most frequent words of the sample are used.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    picked = labelled.select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(doc_id).alias("_id")).orderBy("h", "_id").limit(most_docs)
-    bound = picked.agg(F.max("h")).first()[0]
-    if bound is None:
+    # hashes in 2 ** 14 ranges; of each language, those up to the range in which the number is reached
+    h = F.shiftrightunsigned(F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(doc_id))), 50)
+    prior: dict[str, int] = {}
+    bound: dict[str, int] = {}
+    for name, at, n in sorted(map(tuple, labelled.groupBy(F.col(lang).cast("string"), h).count().collect())):
+        if prior.get(name, 0) < most_docs:
+            bound[name] = at
+        prior[name] = prior.get(name, 0) + n
+    if not bound:
         return fit({}, vocabulary(vocabulary_path), {})
-    sample = labelled.where(F.xxhash64(F.col(doc_id)) <= F.lit(bound)).select(F.col(lang).cast("string"), F.col(text).cast("string"))
+    bounds = F.create_map(*(F.lit(x) for pair in bound.items() for x in pair))
+    sample = labelled.where(h <= bounds[F.col(lang).cast("string")]).select(F.col(lang).cast("string"), F.col(text).cast("string"))
     rows = sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    prior: dict[str, int] = {}
+    counts: dict[str, dict[str, int]] = {name: {} for name in prior}
+    letters: set[str] = set()
     for name, word, n in rows.collect():
         if word:
-            counts.setdefault(name, {})[word] = n
-        else:
-            prior[name] = n
-            counts.setdefault(name, {})
+            counts[name][word] = n
+            letters.update(word)
     counts = {k: dict(sorted(v.items(), key=lambda x: (-x[1], x[0]))[:most_words]) for k, v in counts.items()}
-    return fit(counts, vocabulary(vocabulary_path), prior)
+    return fit(counts, sorted({*vocabulary(vocabulary_path), *letters}), prior)
 
 
 #: Word scores that a Python worker has worked out, by model; bounded.
