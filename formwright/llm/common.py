@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words: ``[\\x20\\x09-\\x0D]``. ``bytes.split()`` cuts at exactly these.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -22,6 +23,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def named(column: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def packed_rows(docs: DataFrame, *more: Column) -> tuple[DataFrame, T.StructField]:
+    """(own, *more), own holding a row's columns whatever their names are; and own as a field of a schema."""
+    shape = docs.select(F.struct(*(F.col(named(c)) for c in docs.columns)).alias("own"), *more)
+    return shape, T.StructField("own", shape.schema["own"].dataType)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,15 +1,18 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 The pieces are all those of a fixed public vocabulary that consist of letters, with their mark of a word's start, and every
-single letter of the labelled sample. A letter beyond these has a probability learned per language. A word's probability in a language is the sum, over all ways to cut it into pieces, of the products of the
-pieces' probabilities; a forward pass gives it. A text's words are independent, so a text's log-probability is a sum
-over its words. Piece probabilities per language are fitted on labelled documents by expectation maximisation over
-the same lattice, from the words' counts.
+single letter of the labelled sample. A letter beyond these has a probability learned per language. A word's probability in a
+language is the sum, over all ways to cut it into pieces, of the products of the pieces' probabilities; a forward pass gives
+it, for runs of letters of any length. A text's words are independent, so a text's log-probability is a sum over its words.
+Piece probabilities per language are fitted on labelled documents by expectation maximisation over the same lattice: the
+sample's words are counted in Spark, and each round sends back expected counts per piece alone.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,13 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from formwright.llm.common import checkpoint, named, packed_rows
+
+#: Numbers that are not decimal digits, such as Roman numerals and fractions: Python's \w takes them for word characters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 #: Runs of letters, as Unicode has them.
-LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST_WORD = 24  # a longer run of letters is cut into stretches of this length
+LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 UNKNOWN = "und"
 START = "▁"  # stands before a word, as in the vocabulary
 _ALL_LETTERS = 140_000  # letters that Unicode has, about
+_TRAINED = 32  # in training, a longer run of letters is learned in stretches of this length
 
 
 def vocabulary(path: str) -> list[str]:
@@ -36,43 +44,45 @@ def vocabulary(path: str) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    out = []
-    for w in LETTERS.findall((text or "").lower()):
-        out += [START + w] if len(w) <= LONGEST_WORD else [START + w[:LONGEST_WORD], *(w[i : i + LONGEST_WORD] for i in range(LONGEST_WORD, len(w), LONGEST_WORD))]
-    return out
+    return [START + w for w in LETTERS.findall((text or "").lower())]
+
+
+def _points(words: list[str], length: int) -> np.ndarray:
+    return np.array(words, dtype=f"U{length}").view(np.uint32).reshape(len(words), length)
 
 
 class Lattice:
-    """Words as padded code-point matrices, and the piece at each place and length (or -1)."""
+    """The pieces by length, to be found in words given as matrices of code points."""
 
     def __init__(self, pieces: list[str]):
         self.longest = max(map(len, pieces), default=1)
         self.index: list[tuple[np.ndarray, np.ndarray]] = []
+        by: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            by.setdefault(len(p), []).append(i)
         for n in range(1, self.longest + 1):
-            own = [(self._code(np.array([[ord(c) for c in p]], np.uint64))[0], i) for i, p in enumerate(pieces) if len(p) == n]
-            keys = np.array([k for k, _ in own], np.uint64)
+            numbers = np.array(by.get(n, ()), np.int64)
+            keys = np.zeros(len(numbers), np.uint64)
+            for column in _points([pieces[i] for i in numbers.tolist()], n).T if len(numbers) else ():
+                keys = keys * np.uint64(1_114_129) + column  # exact up to three code points, a 64-bit hash beyond
             order = np.argsort(keys)
-            self.index.append((keys[order], np.array([i for _, i in own], np.int64)[order]))
-
-    @staticmethod
-    def _code(points: np.ndarray) -> np.ndarray:
-        out = np.zeros(points.shape[:-1], np.uint64)
-        for j in range(points.shape[-1]):
-            out = out * np.uint64(1_114_129) + points[..., j]  # exact up to three code points, a 64-bit hash beyond
-        return out
-
-    def pieces(self, words: list[str], length: int) -> list[np.ndarray]:
-        """Of words of one length: for each piece length, (words, places) with the piece's number."""
-        points = np.array(words, dtype=f"U{length}").view(np.uint32).reshape(len(words), length).astype(np.uint64)
-        out, code = [], np.zeros((len(words), length), np.uint64)
+            self.index.append((keys[order], numbers[order]))
+
+    def pieces(self, points: np.ndarray) -> list[np.ndarray | None]:
+        """Of words of one length: for each piece length, (words, places) with the piece's number or -1; None if there is none."""
+        length = points.shape[1]
+        points = points.astype(np.uint64)
+        out: list[np.ndarray | None] = []
+        code = np.zeros(points.shape, np.uint64)
         for n in range(1, min(self.longest, length) + 1):
             code = code[:, : length - n + 1] * np.uint64(1_114_129) + points[:, n - 1 :]
             keys, numbers = self.index[n - 1]
+            found = None
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-                out.append(np.where(keys[at] == code, numbers[at], -1))
-            else:
-                out.append(np.full(code.shape, -1))
+                hit = keys[at] == code
+                found = np.where(hit, numbers[at], -1) if hit.any() else None
+            out.append(np.full(code.shape, -1) if found is None and n == 1 else found)
         return out
 
 
@@ -81,34 +91,62 @@ def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(lengths, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
         if len(part):
-            for lo in range(0, len(part), 4096):
-                yield int(lengths[part[0]]), part[lo : lo + 4096]
-
-
-def forward(found: list[np.ndarray], length: int, table: np.ndarray, unseen: np.ndarray) -> np.ndarray:
-    """(places, words, languages): sums over the segmentations of each prefix. table's last row is for no piece (0)."""
-    n = found[0].shape[0]
-    alpha = np.zeros((length + 1, n, table.shape[1]))
+            n = int(lengths[part[0]])
+            step = max(1, min(4096, (1 << 17) // n))
+            for lo in range(0, len(part), step):
+                yield n, part[lo : lo + step]
+
+
+def _share(found: list[np.ndarray | None], size: int, place: int, table: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    f = found[size - 1][:, place]
+    p = table[f]
+    return np.where(f[:, None] < 0, unseen, p) if size == 1 else p
+
+
+def log_sums(lattice: Lattice, words: list[str], length: int, table: np.ndarray, unseen: np.ndarray, stretch: int = 1 << 18) -> np.ndarray:
+    """(words, languages): logarithms of the sums over all segmentations, of words of one length. table's last row is for no
+    piece (0). The pass keeps as many columns as the longest piece has letters, and rescales them as it goes."""
+    points = _points(words, length)
+    most = min(lattice.longest, length)
+    recent = [np.ones((len(words), table.shape[1]))]
+    scale = np.zeros_like(recent[0])
+    step = max(most, stretch // len(words))
+    for lo in range(0, length, step):
+        hi, first = min(length, lo + step), max(0, lo - most + 1)
+        found = lattice.pieces(points[:, first:hi])
+        sizes = [n for n, f in enumerate(found, 1) if f is not None]
+        for end in range(lo + 1, hi + 1):
+            total = np.zeros_like(scale)
+            for size in sizes:
+                if size > end:
+                    break
+                total += recent[-size] * _share(found, size, end - size - first, table, unseen)
+            recent.append(total)
+            del recent[:-most]
+            if end % 16 == 0 and end < length:
+                recent = [r / total for r in recent]
+                scale += np.log(total)
+    return scale + np.log(np.maximum(recent[-1], 1e-300))
+
+
+def forward(found: list[np.ndarray | None], length: int, table: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    """(places, words, languages): sums over the segmentations of each prefix, for training."""
+    alpha = np.zeros((length + 1, found[0].shape[0], table.shape[1]))
     alpha[0] = 1.0
     for end in range(1, length + 1):
         for size in range(1, min(len(found), end) + 1):
-            p = table[found[size - 1][:, end - size]]
-            if size == 1:
-                p = np.where(found[0][:, end - 1][:, None] < 0, unseen, p)
-            alpha[end] += alpha[end - size] * p
+            if found[size - 1] is not None:
+                alpha[end] += alpha[end - size] * _share(found, size, end - size, table, unseen)
     return alpha
 
 
-def backward(found: list[np.ndarray], length: int, table: np.ndarray, unseen: np.ndarray) -> np.ndarray:
-    n = found[0].shape[0]
-    beta = np.zeros((length + 1, n, table.shape[1]))
+def backward(found: list[np.ndarray | None], length: int, table: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    beta = np.zeros((length + 1, found[0].shape[0], table.shape[1]))
     beta[length] = 1.0
     for start in range(length - 1, -1, -1):
         for size in range(1, min(len(found), length - start) + 1):
-            p = table[found[size - 1][:, start]]
-            if size == 1:
-                p = np.where(found[0][:, start][:, None] < 0, unseen, p)
-            beta[start] += beta[start + size] * p
+            if found[size - 1] is not None:
+                beta[start] += beta[start + size] * _share(found, size, start, table, unseen)
     return beta
 
 
@@ -123,92 +161,97 @@ class Model:
     def word_scores(self, words: list[str], lattice: Lattice) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
         for length, at in _by_length(words):
-            found = lattice.pieces([words[i] for i in at], length)
-            out[at] = np.log(np.maximum(forward(found, length, self.table, self.unseen)[length], 1e-300))
+            out[at] = log_sums(lattice, [words[i] for i in at], length, self.table, self.unseen)
         return out
 
 
-def fit(counts: dict[str, dict[str, int]], pieces: list[str], prior: dict[str, int], rounds: int = 3, smooth: float = 0.5) -> Model:
-    """Of word counts per language: piece probabilities by expectation maximisation, begun at equal ones."""
-    langs = sorted(counts)
-    lattice = Lattice(pieces)
-    k = len(pieces)
-    table = np.zeros((k + 1, max(1, len(langs))))
-    table[:k] = 1.0 / max(1, k)
-    # the mass of letters met once (Good and Turing), spread over the letters not met
-    unseen = np.full(max(1, len(langs)), 1e-7)
-    for c, lang in enumerate(langs):
-        letters: dict[str, int] = {}
-        for w, n in counts[lang].items():
-            for x in w:
-                letters[x] = letters.get(x, 0) + n
-        unseen[c] = (sum(n == 1 for n in letters.values()) + 0.5) / (sum(letters.values()) + 1) / _ALL_LETTERS
-    for _ in range(rounds if langs else 0):
-        new = np.full_like(table, smooth)
-        for c, lang in enumerate(langs):
-            words = list(counts[lang])
-            times = np.array([counts[lang][w] for w in words], float)
-            one, rare = table[:, c : c + 1], unseen[c : c + 1]
-            for length, at in _by_length(words):
-                found = lattice.pieces([words[i] for i in at], length)
-                a, b = forward(found, length, one, rare), backward(found, length, one, rare)
-                whole = np.maximum(a[length][:, 0], 1e-300)
-                for size, f in enumerate(found, 1):
-                    for start in range(length - size + 1):
-                        share = a[start][:, 0] * one[f[:, start], 0] * b[start + size][:, 0] / whole * times[at]
-                        new[:k, c] += np.bincount(f[:, start][f[:, start] >= 0], share[f[:, start] >= 0], minlength=k)[:k]
-        new[k] = 0
-        table = new / new.sum(0)
-    seen = np.array([prior[x] for x in langs], float) if langs else np.ones(1)
-    return Model(langs, pieces, table, unseen, np.log(seen / seen.sum()))
+def expected(lattice: Lattice, words: list[str], times: np.ndarray, table: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    """Of one language's words and their numbers: how often each piece is expected, over all segmentations."""
+    k = len(table) - 1
+    out = np.zeros(k)
+    for length, at in _by_length(words):
+        found = lattice.pieces(_points([words[i] for i in at], length))
+        a, b = forward(found, length, table, unseen), backward(found, length, table, unseen)
+        whole = np.maximum(a[length][:, 0], 1e-300)
+        for size, f in enumerate(found, 1):
+            if f is None:
+                continue
+            for start in range(length - size + 1):
+                here = f[:, start]
+                own = here >= 0
+                share = a[start][:, 0] * table[here, 0] * b[start + size][:, 0] / whole * times[at]
+                out += np.bincount(here[own], share[own], minlength=k)
+    return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from collections import Counter
-
-    got: dict[str, Counter] = {}
-    docs: Counter = Counter()
     for batch in batches:
+        got: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got.setdefault(lang, Counter()).update(words_of(text))
-            docs[lang] += 1
-    rows = [(lang, w, n) for lang, c in got.items() for w, n in c.items()] + [(lang, "", n) for lang, n in docs.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", vocabulary_path: str = "", most_docs: int = 4000, most_words: int = 30_000) -> Model:
-    """Fit on a bounded sample of labelled rows: about ``most_docs`` of each language, chosen by a hash of the id (of the
-    text where that is null), the same at each run. The prior is that of all labelled rows.
-
-    Of each language, the ``most_words`` most frequent words of the sample are used.
+            own = got.setdefault(lang, Counter())
+            for w in words_of(text):
+                if len(w) <= _TRAINED:
+                    own[w] += 1
+                else:
+                    own.update(w[i : i + _TRAINED] for i in range(0, len(w), _TRAINED))
+        rows = [(lang, w, n) for lang, c in got.items() for w, n in c.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
+
+
+def _expect(model: Model):
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, total = Lattice(model.pieces), np.zeros((len(model.table) - 1, len(model.langs)))
+        number = {x: c for c, x in enumerate(model.langs)}
+        for batch in batches:
+            c = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+            words, times = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
+            for own in np.unique(c).tolist():
+                at = np.flatnonzero(c == own)
+                total[:, own] += expected(lattice, [words[i] for i in at], times[at], model.table[:, own : own + 1], model.unseen[own : own + 1])
+        piece, lang = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "c", "n"])
+
+    return expect
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", vocabulary_path: str = "", most_docs: int = 4000, rounds: int = 3, smooth: float = 0.5) -> Model:
+    """Fit on a bounded sample of labelled rows: about ``most_docs`` of each language, those with the smallest hashes of the
+    id (of the text where that is null), the same at each run. The prior is that of all labelled rows.
+
+    All words of the sample are learned from. The driver sees one count per language, per letter, and per piece and round.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # hashes in 2 ** 14 ranges; of each language, those up to the range in which the number is reached
-    h = F.shiftrightunsigned(F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(doc_id))), 50)
-    prior: dict[str, int] = {}
-    bound: dict[str, int] = {}
-    for name, at, n in sorted(map(tuple, labelled.groupBy(F.col(lang).cast("string"), h).count().collect())):
-        if prior.get(name, 0) < most_docs:
-            bound[name] = at
-        prior[name] = prior.get(name, 0) + n
-    if not bound:
-        return fit({}, vocabulary(vocabulary_path), {})
-    bounds = F.create_map(*(F.lit(x) for pair in bound.items() for x in pair))
-    sample = labelled.where(h <= bounds[F.col(lang).cast("string")]).select(F.col(lang).cast("string"), F.col(text).cast("string"))
-    rows = sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {name: {} for name in prior}
-    letters: set[str] = set()
-    for name, word, n in rows.collect():
-        if word:
-            counts[name][word] = n
-            letters.update(word)
-    counts = {k: dict(sorted(v.items(), key=lambda x: (-x[1], x[0]))[:most_words]) for k, v in counts.items()}
-    return fit(counts, sorted({*vocabulary(vocabulary_path), *letters}), prior)
-
-
-#: Word scores that a Python worker has worked out, by model; bounded.
+    names, texts = F.col(named(lang)).cast("string"), F.col(named(text)).cast("string")
+    labelled = docs.select(names.alias("lang"), texts.alias("text"), F.col(named(doc_id)).alias("id")).where("lang is not null and text is not null")
+    prior = dict(sorted(map(tuple, labelled.groupBy("lang").count().collect())))
+    if not prior:
+        return Model([], vocabulary(vocabulary_path), np.zeros((1, 1)), np.ones(1), np.zeros(1))
+    langs = list(prior)
+    h = F.shiftrightunsigned(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), 1)
+    bounds = F.create_map(*(F.lit(x) for name, n in prior.items() for x in (name, min(most_docs, n) * (2**63 - 1) // n)))
+    sample = labelled.where(h <= bounds[F.col("lang")]).select("lang", "text")
+    words = checkpoint(sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    letters = words.select("lang", F.explode(F.split("word", "")).alias("x"), "n").where(F.col("x") != "").groupBy("lang", "x").agg(F.sum("n").alias("n")).collect()
+    pieces = sorted({*vocabulary(vocabulary_path), *(r.x for r in letters)})
+    k = len(pieces)
+    # the mass of letters met once (Good and Turing), spread over the letters not met
+    often = {x: [r.n for r in letters if r.lang == x] for x in langs}
+    unseen = np.array([(sum(n == 1 for n in often[x]) + 0.5) / (sum(often[x]) + 1) / _ALL_LETTERS for x in langs])
+    table = np.zeros((k + 1, len(langs)))
+    table[:k] = 1.0 / k
+    seen = np.array(list(prior.values()), float)
+    model = Model(langs, pieces, table, unseen, np.log(seen / seen.sum()))
+    for _ in range(rounds):
+        got = words.mapInArrow(_expect(model), "piece int, c int, n double").groupBy("piece", "c").agg(F.sum("n").alias("n")).toPandas()
+        table = np.full_like(table, smooth)
+        table[got["piece"].to_numpy(), got["c"].to_numpy()] += got["n"].to_numpy()
+        table[k] = 0
+        model.table = table = table / table.sum(0)
+    return model
+
+
+#: Word scores that a Python worker has worked out, by model; bounded in number and in the words' length.
 _KNOWN: dict[str, tuple] = {}
-_MOST_KNOWN = 300_000
+_MOST_KNOWN, _MOST_LETTERS = 300_000, 64
 
 
 def _predict(model: Model, key: str):
@@ -223,7 +266,7 @@ def _predict(model: Model, key: str):
                 lists = [words_of(t) for t in batch.column(1).to_pylist()]
                 if len(index) > _MOST_KNOWN:
                     index.clear()
-                new = list({w for ws in lists for w in ws if w not in index})
+                new = list({w for ws in lists for w in ws if w not in index and len(w) <= _MOST_LETTERS})
                 if new and model.langs:
                     base = len(index)
                     while base + len(new) > len(scores):
@@ -237,24 +280,33 @@ def _predict(model: Model, key: str):
                         langs.append(UNKNOWN)
                         probabilities.append(0.0)
                         continue
-                    total = model.prior + scores[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0)
+                    at = [index.get(w, -1) for w in ws]
+                    total = model.prior + scores[np.array([i for i in at if i >= 0], np.int64)].sum(0)
+                    long = [w for w, i in zip(ws, at, strict=True) if i < 0]
+                    if long:
+                        total = total + model.word_scores(long, lattice).sum(0)
                     p = np.exp(total - total.max())
                     best = int(p.argmax())
                     langs.append(model.langs[best])
                     probabilities.append(float(p[best] / p.sum()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != 1), pa.array(langs, pa.string()), pa.array(probabilities, pa.float64())], names=[*(n for i, n in enumerate(batch.schema.names) if i != 1), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(probabilities, pa.float64())], ["own", "lang_pred", "score"])
 
     return predict
 
 
-def predicted(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep, lang_pred (``und`` if the text is null or has no letter) and score, the language's
-    posterior probability. ``und`` has score 0. Whole texts are scored; a model without languages says ``und``."""
+def judged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(own, lang_pred, score) per row of docs, own holding all of its columns: ``und`` if the text is null or has no letter,
+    else the language of the highest posterior probability, which is the score; of equal ones the first by name. ``und`` has
+    score 0. Whole texts are scored; a model without languages says ``und``."""
     import hashlib
 
     key = hashlib.md5(model.table.tobytes() + repr(model.langs).encode()).hexdigest()
-    kinds = dict(docs.dtypes)
-    first, *rest = keep
-    shape = docs.select(F.col(first).alias(f"k_{first}"), F.col(text).cast("string").alias("t_text"), *(F.col(c).alias(f"k_{c}") for c in rest))
-    got = shape.mapInArrow(_predict(model, key), ", ".join(f"`k_{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
-    return got.select(*(F.col(f"k_{c}").alias(c) for c in keep), "lang_pred", "score")
+    shape, own = packed_rows(docs, F.col(named(text)).cast("string").alias("text"))
+    return shape.mapInArrow(_predict(model, key), T.StructType([own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def predicted(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns named in keep, and lang_pred and score of ``judged``."""
+    some = docs.select(*(F.col(named(c)) for c in dict.fromkeys((*keep, text))))
+    got = judged(some, model, text)
+    return got.select(*(F.col("own")[c].alias(c) for c in keep), "lang_pred", "score")

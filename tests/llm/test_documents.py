@@ -207,7 +207,6 @@ def test_packing(docs, nothing):
 
     path = tokenizer("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = packing.packed(packing.pieces(docs, path, capacity=64), capacity=64).collect()
     expected = Counter()
     for i, text in ROWS:
@@ -265,6 +264,6 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not w else sum(p[i, 0] * by_hand(w[len(x) :]) for i, x in enumerate(pieces) if w.startswith(x))
 
     for w in ("a", "abab", "abaab"):
-        found = lattice.pieces([w], len(w))
+        found = lattice.pieces(langid._points([w], len(w)))
         f, b = langid.forward(found, len(w), p, np.array([1e-7])), langid.backward(found, len(w), p, np.array([1e-7]))
         assert np.isclose(f[len(w), 0, 0], by_hand(w)) and np.isclose(b[0, 0, 0], by_hand(w))
