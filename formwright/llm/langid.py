@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 
 from formwright.llm.common import checkpoint, named, packed_rows
 
-#: Numbers that are not decimal digits, such as Roman numerals and fractions: Python's \w takes them for word characters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-#: Runs of letters, as Unicode has them.
-LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+#: Numbers that are not decimal digits, such as Roman numerals and fractions: a pattern takes them for word characters.
+_NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_BLANKS = dict.fromkeys(map(ord, _NUMERALS), " ")
+_RUNS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 START = "▁"  # stands before a word, as in the vocabulary
 _ALL_LETTERS = 140_000  # letters that Unicode has, about
@@ -40,11 +40,15 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     got = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted({p for p in got if LETTERS.fullmatch(p.removeprefix(START))} | {START})
+    return sorted({p for p in got if p.removeprefix(START).isalpha()} | {START})
 
 
 def words_of(text: str | None) -> list[str]:
-    return [START + w for w in LETTERS.findall((text or "").lower())]
+    """Runs of letters, as Unicode has them, in lower case and each with the mark of a start."""
+    text = (text or "").lower()
+    if not text.isascii() and not _NUMERALS.isdisjoint(text):
+        text = text.translate(_BLANKS)
+    return [START + w for w in _RUNS.findall(text)]
 
 
 def _points(words: list[str], length: int) -> np.ndarray:
