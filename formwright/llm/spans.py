@@ -20,8 +20,9 @@ Texts that are whole copies of a smaller document's are left out beforehand: all
 4. Each bucket marks the covered tokens of its documents and gives one row per document.
 
 Memory: a task holds one bucket's text (``bucket_bytes``) or one range's messages, and works through a bucket in slices of
-a quarter of a megabyte (a longer document is a slice of its own). Hashes have 64 bits where they decide; two
-different sequences are confused with probability 2^-64 a pair.
+a quarter of a megabyte (a longer document is a slice of its own). Hashes have 64 bits where they decide: XXH64 of a
+word, and a polynomial modulo 2^64 over at most some 80 tokens. Two different sequences are confused with
+probability 2^-64 a pair, or up to 2^-37 where they alternate two words in the one pattern that weakens such polynomials.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from formwright.llm.common import SPACE, ids, mix, utf8
+from formwright.llm.common import SPACE, ids, mix, named, utf8
 
 _U = np.uint64
 _BASE, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -46,6 +49,19 @@ MESSAGE = "part long, bucket long, a binary, b binary, c binary, d binary"
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
+
+
+class _Words(dict):
+    """Codes of words met before; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 150_000:
+            self.clear()
+        self[word] = code = xxhash.xxh64_intdigest(word, 42)
+        return code
+
+
+_WORD_CODES = _Words()
 #: Powers of the base and of its inverse, as far as they were needed yet.
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -80,6 +96,7 @@ class Rule:
     words: bool
     width: int = 50
     k: int = 20
+    slice_bytes: int = 250_000
 
     @property
     def span(self) -> int:
@@ -124,14 +141,14 @@ def copies_in(table: pa.Table, replies: pa.Table) -> np.ndarray:
     return out
 
 
-def slices(table: pa.Table, rule: Rule, copies: np.ndarray, most: int = 250_000) -> Iterator[Slice]:
+def slices(table: pa.Table, rule: Rule, copies: np.ndarray) -> Iterator[Slice]:
     doc, null = ids(table.column("doc_id"))
     null |= copies
     start, end, data = utf8(table.column("text"))
     size = end - start
     lo = 0
     while lo < len(doc):
-        hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), most, side="right")) + lo)
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), rule.slice_bytes, side="right")) + lo)
         yield _slice(np.arange(lo, hi), doc[lo:hi], null[lo:hi], start[lo:hi], end[lo:hi], data, rule)
         lo = hi
 
@@ -141,10 +158,15 @@ def _slice(rows, doc, null, start, end, data, rule: Rule) -> Slice:
     # values that are null may leave gaps; what lies between two documents is never within one
     text = np.frombuffer(data, np.uint8)[base:stop] if stop > base else np.zeros(0, np.uint8)
     start, end = start - base, np.maximum(end - base, start - base)
-    codes, token_at, token_to = _BYTE_CODES[text], None, None
+    token_at, token_to = None, None
     first, last = start, end
     if rule.words:
         inside = ~_IS_SPACE[text]
+        if (end - start).sum() < len(text):  # bytes that no document has
+            depth = np.zeros(len(text) + 1, np.int64)
+            np.add.at(depth, start, 1)
+            np.add.at(depth, end, -1)
+            inside &= np.cumsum(depth)[:-1] > 0
         cut = np.zeros(len(text) + 1, bool)
         cut[start[start < len(text)]] = True
         before = np.zeros(len(text), bool)
@@ -153,9 +175,13 @@ def _slice(rows, doc, null, start, end, data, rule: Rule) -> Slice:
         after = np.zeros(len(text), bool)
         after[:-1] = inside[1:]
         ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-        codes = stretch(prefix(codes), begins, ends)
+        raw = text.tobytes()
+        split = [raw[a:b].split() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        codes = np.fromiter((_WORD_CODES[w] for own in split for w in own), np.uint64, len(begins))
         token_at, token_to = begins, ends
         first, last = np.searchsorted(begins, start), np.searchsorted(begins, end)
+    else:
+        codes = _BYTE_CODES[text]
     sums = prefix(codes)
     n = len(codes)
     count = np.where(null, 0, np.maximum(0, last - first - rule.width + 1))
@@ -452,7 +478,8 @@ def _documents(rule: Rule, parts: int, with_text: bool) -> Callable[[pa.Table, p
             mine = asked[edge[p] : edge[p + 1]]
             elsewhere[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
         n, removed, spans, sha, texts = [], [], [], [], []
-        whole, _, data = utf8(table.column("text"))
+        whole, until, data = utf8(table.column("text"))
+        nothing = table.column("text").is_null().to_numpy()
         for s in slices(table, rule, copies):
             gone = _covered(rule, graph, own_h, own_doc, elsewhere, s)
             for i, f, t in zip(s.rows.tolist(), s.first.tolist(), s.last.tolist(), strict=True):
@@ -474,35 +501,35 @@ def _documents(rule: Rule, parts: int, with_text: bool) -> Callable[[pa.Table, p
                 removed.append(k)
                 spans.append(int((edges[f:t] > 0).sum()) + int(f > 0 and gone[f] and gone[f - 1]) if k else 0)
                 sha.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept if with_text and k else None)
+                if with_text:
+                    texts.append(None if nothing[i] else kept if k else bytes(data[begin : int(until[i])]))
         out = {"doc_id": table.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         if with_text:
-            out["kept"] = pa.array(texts, pa.binary())
-            for name in table.column_names:
-                if name.startswith("own_"):
-                    out[name] = table.column(name)
+            out |= {"kept": pa.array(texts, pa.binary()), "own": table.column("own")}
         return pa.table(out)
 
     return documents
 
 
-def repeated_spans(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, bucket_bytes: int = 6_000_000, items_per_range: int = 500_000) -> DataFrame:
-    """(doc_id, n_tokens, n_removed, n_spans, kept_sha256), one row per row of docs; with_text adds kept (the rest as
-    bytes; null if nothing was removed) and the columns named in keep, as own_<name>.
+def repeated_spans(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, bucket_bytes: int = 6_000_000, items_per_range: int = 500_000) -> DataFrame:
+    """(doc_id, n_tokens, n_removed, n_spans, kept_sha256), one row per row of docs; with_text adds kept (the text's bytes,
+    or what is left of them) and own, a struct of all columns but the text.
 
     Rows of the same doc_id are judged alike and never against each other. A null text has no tokens; a row whose
     doc_id is null neither loses tokens nor makes others lose them.
     """
-    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    i, t = F.col(named(doc_id)).cast("long"), F.col(named(text)).cast("string")
+    total = docs.agg(F.sum(F.octet_length(t))).first()[0] or 0
     buckets = max(64, -(-total // bucket_bytes))
     items = total // (6 if rule.words else 1) * 2 // (rule.span + 1)
     parts = int(max(16, -(-items // items_per_range)))
-    own = [F.col(c).alias(f"own_{c}") for c in keep]
+    own = [F.struct(*(F.col(named(c)) for c in docs.columns if c != text)).alias("own")] if with_text else []
 
-    def bucket(c: str):
-        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(buckets)).alias("bucket")
+    def bucket(x: Column):
+        return F.pmod(F.xxhash64(x), F.lit(buckets)).alias("bucket")
 
-    bucketed = docs.select(bucket(doc_id), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *own).groupBy("bucket")
+    flat = docs.select(bucket(i), i.alias("doc_id"), t.alias("text"), *own)
+    bucketed = flat.groupBy("bucket")
 
     def asked(messages: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
         return messages.groupBy("part").applyInArrow(answer, MESSAGE)
@@ -511,16 +538,15 @@ def repeated_spans(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: st
         return reduce(DataFrame.unionAll, replies, copies).groupBy("bucket")
 
     # texts that a smaller document has too, told to their buckets; a text with many copies is one partial row per task
-    sums = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.col(text).cast("string").cast("binary")).alias("md5")).where("doc_id is not null and md5 is not null")
+    sums = docs.select(i.alias("doc_id"), F.md5(t.cast("binary")).alias("md5")).where("doc_id is not null and md5 is not null")
     least_of = sums.groupBy("md5").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("md5", "least")
     nothing = F.lit(None).cast("binary")
-    copies = sums.join(least_of, "md5").where("doc_id > least").select(F.lit(-3).cast("long").alias("part"), bucket("doc_id"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("a"), F.unhex("md5").alias("b"), nothing.alias("c"), nothing.alias("d"))
+    copies = sums.join(least_of, "md5").where("doc_id > least").select(F.lit(-3).cast("long").alias("part"), bucket(F.col("doc_id")), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("a"), F.unhex("md5").alias("b"), nothing.alias("c"), nothing.alias("d"))
 
     seen = asked(bucketed.cogroup(told()).applyInArrow(_sketch(rule, parts), MESSAGE), _seen_twice)
     graph = asked(bucketed.cogroup(told(seen)).applyInArrow(_nodes(rule, parts), MESSAGE), _compact)
     least = asked(bucketed.cogroup(told(graph)).applyInArrow(_windows(rule, parts), MESSAGE), _smallest)
-    schema = "doc_id long, n_tokens long, n_removed long, n_spans long, kept_sha256 string"
+    schema = [T.StructField(n, T.LongType()) for n in ("doc_id", "n_tokens", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     if with_text:
-        kinds = dict(docs.dtypes)
-        schema += ", kept binary" + "".join(f", own_{c} {kinds[c]}" for c in keep)
-    return bucketed.cogroup(told(graph, least)).applyInArrow(_documents(rule, parts, with_text), schema)
+        schema += [T.StructField("kept", T.BinaryType()), T.StructField("own", flat.schema["own"].dataType)]
+    return bucketed.cogroup(told(graph, least)).applyInArrow(_documents(rule, parts, with_text), T.StructType(schema))

@@ -22,9 +22,6 @@ def word_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50) -> DataFrame:
     """docs with the repeated words gone. A text that loses none stays as it is; one that loses some is its kept words,
     joined by one space; one that loses all is dropped. All columns of docs are kept."""
-    others = tuple(c for c in docs.columns if c not in (doc_id, text))
-    original = docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text), *others).withColumn("_text", F.col(text))
-    got = repeated_spans(original, Rule(words=True, width=width, k=min(20, max(1, width // 2))), doc_id, text, keep=(*others, "_text"), with_text=True)
-    new = F.when(F.col("kept").isNull(), F.col("own__text")).otherwise(F.col("kept").cast("string"))
+    got = repeated_spans(docs, Rule(words=True, width=width, k=min(20, max(1, width // 2))), doc_id, text, with_text=True)
     whole = got.where("n_removed = 0 or n_removed < n_tokens")
-    return whole.select(*(F.col("doc_id").alias(doc_id) if c == doc_id else new.alias(text) if c == text else F.col(f"own_{c}").alias(c) for c in docs.columns))
+    return whole.select(*(F.col("kept").cast("string").alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns))
