@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formwright.llm.common import named, packed_rows
+
 SPACES = r"[\x20\x09-\x0D]+"
 # Characters that count as symbols, and frequent words of four languages.
 SYMBOLS = "#*$%&|<>"
@@ -43,9 +45,9 @@ def measures(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
 
     Each step is a projection over the one before, so that a shared array is made once. Windows are told apart by a
     64-bit hash; only texts in which one occurs twice are sorted. Columns of docs with these names, or beginning with
-    ``_q_``, are replaced. A null text has no words; all counts are then 0.
+    ``_q_``, are replaced; ``accepted`` keeps them. A null text has no words; all counts are then 0.
     """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t = F.coalesce(F.col(named(text)).cast("string"), F.lit(""))
     one = docs.withColumns({"_q_words": F.filter(F.split(t, SPACES), lambda w: w != ""), "_q_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     two = one.withColumns({"_q_hashes": _windows(F.col("_q_words"), width)})
     h = F.col("_q_hashes")
@@ -63,7 +65,7 @@ def measures(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
         "n_stop_words": F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))).cast("long"),
         "n_repeat_words": _covered(s, F.col("_q_starts"), width),
     }
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in counts and not c.startswith("_q_")]
+    own = [F.col(named(c)) for c in docs.columns if c not in counts and not c.startswith("_q_")]
     # a generator of one row: a later filter on the counts cannot be pushed below it, where it would repeat all of the above
     return four.select(*own, F.inline(F.array(F.struct(*(e.alias(n) for n, e in counts.items())))))
 
@@ -82,3 +84,9 @@ def judged(docs: DataFrame, text: str = "text", table: tuple[tuple[str, str | No
     """measures() with base_failed (fewer than 10 words, or over a fifth of them in repeated 5-word windows) and kept."""
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measures(docs, text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(table))
+
+
+def accepted(docs: DataFrame, text: str = "text", table: tuple[tuple[str, str | None, int, float, float], ...] = THRESHOLDS) -> DataFrame:
+    """The rows of docs that are kept, with their columns as they are, whatever names those have."""
+    shape, _ = packed_rows(docs, F.col(named(text)).cast("string").alias("text"))
+    return judged(shape, "text", table).where("kept").select("own.*")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formwright.llm.common import checkpoint, ids, mix, utf8
+from formwright.llm.common import checkpoint, mix, named, utf8
 from formwright.llm.graph import connected_components
 
 SHIFTS, WIDTHS = (42, 21, 0), (22, 21, 21)
@@ -56,7 +56,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): bytes.lower() changes A-Z alone; a null or blank text has fingerprint 0."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(named(doc_id)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _remainder(v: np.ndarray) -> np.ndarray:
@@ -235,3 +235,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = named.join(least, "component").select("fp", "component_id")
     return fps.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
+    """docs with one row of each group of near copies left, by 5-word shingles and a similarity of 0.8 or more.
+
+    At that similarity, fingerprints of 64 bits differ in 10 bits on average and in 20 at times, out of reach of any key
+    that a Golay decoding can give. So candidates come from prefix keys that miss no pair; fingerprints gate them, and
+    the sets decide (see ``jaccard``, also on which row stays). All columns of docs stay as they are.
+    """
+    from formwright.llm.jaccard import one_per_component
+
+    return one_per_component(docs, doc_id, text, **limits)
