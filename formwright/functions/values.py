@@ -66,12 +66,18 @@ class Value:
     f: Column
     s: Column
     text: Column
+    #: A whole number past 64 bits with a sign, up to 64 bits without: as text it keeps its digits.
+    big: Column
+
+    def parts(self) -> dict[str, Column]:
+        return {name: getattr(self, name) for name in ("b", "i", "f", "s", "text", "big")}
 
     def json(self) -> Column:
         """Compact JSON text of anything but a string or null."""
         return (
             F.when(self.kind == BOOL, self.b.cast("string"))
             .when(self.kind == INT, self.i.cast("string"))
+            .when((self.kind == FLOAT) & self.big.isNotNull(), self.big.cast("string"))
             .when(self.kind == FLOAT, jsontext.number_text(F.when(self.kind == FLOAT, self.f)))
             .when(self.kind.isin(ARRAY, OBJECT), self.text)
         )
@@ -82,13 +88,21 @@ class Value:
 
 def value(v: Column, kind: Column, raw: Column, path: tuple[str, ...], composite: bool = True) -> Value:
     none = F.lit(None).cast("string")
+    f = F.try_variant_get(F.when(kind == FLOAT, v), "$", "double")
+    if path and not any("'" in p or "?" in p or p.isdigit() for p in path):
+        # a variant has no negative zero; the sign is in the text
+        token = F.get_json_object(F.when(f == 0, raw), "$" + "".join(f"['{p}']" for p in path))
+        f = F.when((f == 0) & token.startswith("-"), F.lit(-0.0)).otherwise(f)
+    wide = F.when(kind == FLOAT, F.schema_of_variant(v)) == "DECIMAL(20,0)"
+    big = F.try_variant_get(F.when(wide, v), "$", "decimal(20,0)")
     return Value(
         kind,
         F.try_variant_get(F.when(kind == BOOL, v), "$", "boolean"),
         F.try_variant_get(F.when(kind == INT, v), "$", "bigint"),
-        F.try_variant_get(F.when(kind == FLOAT, v), "$", "double"),
+        f,
         F.try_variant_get(F.when(kind == STR, v), "$", "string"),
         jsontext.part_text(raw, v, path, kind.isin(ARRAY, OBJECT)) if composite else none,
+        F.when((big > 0) & (big < F.lit(str(1 << 64)).cast("decimal(20,0)")), big),
     )
 
 
@@ -118,6 +132,7 @@ def _abs(x: Value) -> Value:
         x,
         kind=F.when(lowest, FLOAT).otherwise(x.kind),
         i=F.when(~lowest, F.abs(F.when(~lowest, x.i))),
+        big=F.abs(x.big),
         f=F.when(lowest, F.lit(2.0**63)).otherwise(F.abs(x.f)),
     )
 
@@ -169,11 +184,3 @@ COERCIONS = {
     "date": _date,
     "timestamp": _timestamp,
 }
-
-
-def looks_like_date(s: Column) -> Column:
-    return s.rlike(_DATE) & s.try_cast("date").isNotNull()
-
-
-def looks_like_timestamp(s: Column) -> Column:
-    return s.rlike(_ZONED) & F.upper(s).try_cast("timestamp").isNotNull()

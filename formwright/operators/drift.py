@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -71,6 +71,28 @@ def may_drift(v: Col, tree: dict | None) -> Col:
     return out
 
 
+def object_keys(tree: dict | None) -> list[tuple[Callable[[Col], Col], Col]] | None:
+    """For each object that columns look into: its keys in a record's text, and those that the columns take. None where a key
+    cannot be written as a path."""
+    out: list[tuple[Callable[[Col], Col], Col]] = []
+
+    def add(at: dict, path: tuple[str, ...]) -> None:
+        where = "$" + "".join(f"['{p}']" for p in path)
+        out.append((lambda raw: F.json_object_keys(F.get_json_object(raw, where) if path else raw), F.array(*map(F.lit, at))))
+        for k, below in at.items():
+            if below is not None:
+                add(below, (*path, k))
+
+    def plain(at: dict) -> bool:
+        return all("'" not in k and "?" not in k and (below is None or plain(below)) for k, below in at.items())
+
+    if tree is not None and not plain(tree):
+        return None
+    if tree is not None:
+        add(tree, ())
+    return out
+
+
 def events(tree: dict | None, flatten: bool):
     """An Arrow function over the raw text of records that may drift; null for all others."""
 

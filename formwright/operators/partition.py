@@ -203,4 +203,4 @@ def path_text(field: Field, value) -> str:
         value = str(value).lower()
     elif isinstance(value, datetime.datetime):
         value = value.isoformat()
-    return re.sub(r"[^A-Za-z0-9._-]", "_", str(value))
+    return "".join(c if c.isalnum() or c in "-._" else "_" for c in str(value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from formwright.errors import EngineError, SpecError
 from formwright.operators.partition import split_top
@@ -48,7 +48,6 @@ def run(spark: SparkSession, spec: Spec, records: lines.Records | None = None) -
         if files.exists(base + end):
             files.remove(base + end)
     shaped = Shaped(spec, records)
-    drift_path = None
 
     def tell(report: Report) -> str | None:
         if report.drift.is_clean():
@@ -57,22 +56,32 @@ def run(spark: SparkSession, spec: Spec, records: lines.Records | None = None) -
         files.write(f"{base}.drift.json", json.dumps(body, indent=2, ensure_ascii=False).encode())
         return f"{base}.drift.json"
 
-    try:
-        shaped.check()
-    except EngineError:
-        tell(shaped.report())
-        raise
+    # one pass shapes, counts and writes; whatever stops the run comes before anything is put in place
+    seen = Observation()
+    rows = shaped.shaped(shaped.outcomes.observe(seen, *shaped.counts()))
+    out: list[Result] = []
+
+    def before() -> None:
+        counts = seen.get
+        done = Result(shaped.report(counts), "")
+        try:
+            shaped.told(counts)
+        except EngineError:
+            tell(done.report)
+            raise
+        if done.report.rejected or done.report.parse_errors:
+            parquet.write_text(shaped.rejects, f"{base}.rejects.jsonl")
+            done.rejects_path = f"{base}.rejects.jsonl"
+        done.drift_path = tell(done.report)
+        out.append(done)
+
     if spec.output.to == "parquet":
         path = parquet.resolved(spec.output.path, spec.dataset, files)
-        size = parquet.write_single(shaped.table, path, spec.output.compression)
-        out = Result(shaped.report(), path, bytes=size, row_groups=parquet.inspect(spark, path)["row_groups"])
-    else:
-        mode = "merge" if spec.output.merge_on else "append" if spec.output.append else "create"
-        parts = tuple(e for text in spec.output.partition_by for e in split_top(text))
-        done = Table(spark, spec.output.path).write(shaped.rows, mode, parts, spec.output.merge_on, spec.output.compression, shaped.schema)
-        out = Result(shaped.report(), spec.output.path, done, done.bytes, done.files)
-    if out.report.rejected or out.report.parse_errors:
-        parquet.write_text(shaped.rejects, f"{base}.rejects.jsonl")
-        out.rejects_path = f"{base}.rejects.jsonl"
-    out.drift_path = drift_path or tell(out.report)
-    return out
+        size = parquet.write_single(rows.drop("__seq"), path, spec.output.compression, spec.row_group_rows, before)
+        out[0].path, out[0].bytes, out[0].row_groups = path, size, parquet.inspect(spark, path)["row_groups"]
+        return out[0]
+    mode = "merge" if spec.output.merge_on else "append" if spec.output.append else "create"
+    parts = tuple(e for text in spec.output.partition_by for e in split_top(text))
+    done = Table(spark, spec.output.path).write(rows, mode, parts, spec.output.merge_on, spec.output.compression, shaped.schema, before=before)
+    out[0].path, out[0].table, out[0].bytes, out[0].row_groups = spec.output.path, done, done.bytes, done.files
+    return out[0]

@@ -1,7 +1,8 @@
-"""Files of any store that Hadoop reaches, from the driver. Only metadata goes this way; rows never do."""
+"""Files of any store that Hadoop reaches, from the driver: metadata, and finished parts that are to be one named file."""
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -39,13 +40,20 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, data: bytes, replace: bool = True) -> None:
+    def write(self, path: str, data: bytes, replace: bool = True) -> bool:
+        """False, and nothing written, if the file is there already and not to be replaced."""
         fs, p = self._at(path)
-        stream = fs.create(p, replace)
+        try:
+            stream = fs.create(p, replace)
+        except Py4JJavaError as e:
+            if not replace and "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
         try:
             stream.write(bytearray(data))
         finally:
             stream.close()
+        return True
 
     def move(self, source: str, target: str) -> None:
         fs, p = self._at(source)
@@ -56,6 +64,22 @@ class Files:
         if not fs.rename(p, to):
             raise OSError(f"cannot move {source} to {target}")
 
+    def concatenate(self, sources: list[str], target: str) -> None:
+        """One file of several, which stay; it appears under its name when it is whole."""
+        fs, to = self._at(target + ".part")
+        out = fs.create(to, True)
+        try:
+            for source in sources:
+                own, p = self._at(source)
+                stream = own.open(p)
+                try:
+                    self.jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out)
+                finally:
+                    stream.close()
+        finally:
+            out.close()
+        self.move(target + ".part", target)
+
     def remove(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

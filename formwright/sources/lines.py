@@ -25,10 +25,18 @@ RAW = T.StructType([T.StructField("seq", T.LongType()), T.StructField("raw", T.S
 
 @dataclass(frozen=True)
 class Records:
-    """good: (seq, raw, v), v the record as a variant. bad: (line, error, raw). Both are lazy, over one scan each."""
+    """good: (seq, raw, v), v the record as a variant. bad: (line, error, raw). Both are lazy, over one scan each. lines: the
+    (seq, raw) that both come from, blank ones left out, and most_bytes, what a record may have."""
 
     good: DataFrame
     bad: DataFrame
+    lines: DataFrame
+    most_bytes: int
+    #: Rows of bad that come from no line: where an array ends or breaks.
+    faults: DataFrame | None = None
+
+    def broken(self) -> int:
+        return 0 if self.faults is None else self.faults.count()
 
 
 def numbered(files: DataFrame) -> DataFrame:
@@ -80,15 +88,31 @@ def records(lines: DataFrame, most_bytes: int = MOST_BYTES) -> Records:
     object's only value: whatever follows the value breaks one of them, or makes a second element.
     """
     some = lines.where(F.col("raw").isNotNull() & ~F.col("raw").rlike(r"^[\s]*$"))
-    fits = F.octet_length("raw") <= most_bytes
-    raw = F.when(fits, F.col("raw"))
-    array, wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"r":'), raw, F.lit("}")))
-    parsed = some.select("seq", "raw", fits.alias("fits"), array.alias("a"), wrapped.isNotNull().alias("w"))
-    parsed = parsed.select("seq", "raw", "fits", (F.col("w") & F.try_variant_get("a", "$[1]", "variant").isNull()).alias("w"), F.try_variant_get("a", "$[0]", "variant").alias("v"))
-    parsed = fenced(parsed)
+    small = fits(F.col("raw"), most_bytes)
+    parsed = some.select("seq", "raw", small.alias("fits"), *framed(F.when(small, F.col("raw"))))
+    parsed = fenced(parsed.select("seq", "raw", "fits", *unframed()))
     ok = F.col("fits") & F.col("w") & F.col("v").isNotNull()
+    return Records(parsed.where(ok).select("seq", "raw", "v"), parsed.where(~ok).select(*reject(most_bytes)), some, most_bytes)
+
+
+def fits(raw: Column, most_bytes: int) -> Column:
+    return F.octet_length(raw) <= most_bytes
+
+
+def framed(raw: Column) -> tuple[Column, Column]:
+    """The record's two frames, as a and w; then ``unframed`` gives w, whether both hold, and v, the record."""
+    array, wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"r":'), raw, F.lit("}")))
+    return array.alias("a"), wrapped.isNotNull().alias("w")
+
+
+def unframed() -> tuple[Column, Column]:
+    return (F.col("w") & F.try_variant_get("a", "$[1]", "variant").isNull()).alias("w"), F.try_variant_get("a", "$[0]", "variant").alias("v")
+
+
+def reject(most_bytes: int) -> tuple[Column, Column, Column]:
+    """(line, error, raw) of (seq, fits, raw)."""
     error = F.when(~F.col("fits"), F.lit(f"record exceeds {most_bytes} bytes")).otherwise(F.lit("not a valid JSON value"))
-    return Records(parsed.where(ok).select("seq", "raw", "v"), parsed.where(~ok).select(F.col("seq").alias("line"), error.alias("error"), F.regexp_replace("raw", r"[ \r]+$", "").alias("raw")))
+    return F.col("seq").alias("line"), error.alias("error"), F.regexp_replace("raw", r"[ \r]+$", "").alias("raw")
 
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[\]{},]', re.S)
@@ -155,7 +179,7 @@ def json_array(spark: SparkSession, path: str | None = None, text: str | None =
     parts = parts.repartition(spark.sparkContext.defaultParallelism)
     got = records(parts.where("error is null").select("seq", "raw"), most_bytes)
     broken = parts.where("error is not null").select(F.col("seq").alias("line"), "error", F.lit("").alias("raw"))
-    return Records(got.good, got.bad.unionAll(broken))
+    return Records(got.good, got.bad.unionAll(broken), got.lines, most_bytes, broken)
 
 
 def is_stdin(path: str) -> bool:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,48 +17,57 @@ def resolved(path: str, dataset: str, files: Files) -> str:
     return f"{path.rstrip('/')}/{dataset}.parquet" if path.endswith("/") or files.is_folder(path) and not path.endswith(".parquet") else path
 
 
-def write_single(df: DataFrame, path: str, codec: str = "snappy") -> int:
-    """One file under exactly this name; its bytes. The old file stays until the new one is whole."""
+def write_single(df: DataFrame, path: str, codec: str = "snappy", row_group_rows: int | None = None, before: Callable[[], None] = lambda: None) -> int:
+    """One file under exactly this name; its bytes. Tasks write a file each, and the row groups of all become one file's, as
+    they are, in the tasks' order. The old file stays until the new one is whole. before: runs in between, and may raise."""
     if codec not in CODECS:
         raise SinkError(f"unknown compression {codec}")
     files = Files(df.sparkSession)
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     try:
-        df.coalesce(1).write.option("compression", codec).parquet(staging)
-        files.move(files.walk(staging, ".parquet")[0], path)
+        writer = df.write.option("compression", codec)
+        if row_group_rows:
+            writer = writer.option("parquet.block.row.count.limit", str(row_group_rows))
+        writer.parquet(f"{staging}/parts")
+        before()
+        parts = files.walk(f"{staging}/parts", ".parquet")
+        if len(parts) > 1:
+            join(df.sparkSession, parts, f"{staging}/whole.parquet")
+        files.move(f"{staging}/whole.parquet" if len(parts) > 1 else parts[0], path)
     finally:
         files.remove(staging)
     return files.size(path)
 
 
-def write_folder(df: DataFrame, path: str, codec: str = "snappy", mode: str = "overwrite") -> None:
-    """As many files as there are tasks: the way for data that no single task should write. The swap comes last."""
-    files = Files(df.sparkSession)
-    if mode == "append":
-        df.write.option("compression", codec).mode("append").parquet(path)
-        return
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+def join(spark: SparkSession, parts: list[str], path: str) -> None:
+    """One file of the row groups of several, byte by byte: nothing is decoded."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.parquet.hadoop
+    source = lambda p: hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(p), conf)
+    first = hadoop.ParquetFileReader.open(source(parts[0]))
     try:
-        df.write.option("compression", codec).parquet(staging)
-        if files.exists(path):
-            files.remove(path)
-        files.move(staging, path)
+        meta = first.getFooter().getFileMetaData()
     finally:
-        files.remove(staging)
+        first.close()
+    writer = hadoop.ParquetFileWriter(conf, meta.getSchema(), jvm.org.apache.hadoop.fs.Path(path))
+    writer.start()
+    for p in parts:
+        writer.appendFile(source(p))
+    writer.end(meta.getKeyValueMetaData())
 
 
 def write_text(df: DataFrame, path: str) -> int:
-    """Lines (value, seq) as one text file, in order of seq; no file for no lines. The number of lines."""
-    n = df.count()
-    if n:
-        files = Files(df.sparkSession)
-        staging = f"{path}.staging-{uuid.uuid4().hex}"
-        try:
-            df.coalesce(1).sortWithinPartitions("seq").select("value").write.text(staging)
-            files.move(files.walk(staging, ".txt")[0], path)
-        finally:
-            files.remove(staging)
-    return n
+    """Lines (value, seq) as one text file, in order of seq. Ranges of seq are written by a task each, then put one
+    after the other. The number of files that took."""
+    files = Files(df.sparkSession)
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    try:
+        df.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(staging)
+        parts = files.walk(staging, ".txt")
+        files.concatenate(parts, path)
+    finally:
+        files.remove(staging)
+    return len(parts)
 
 
 def inspect(spark: SparkSession, path: str) -> dict:

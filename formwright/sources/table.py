@@ -11,6 +11,8 @@ import json
 import struct
 import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -268,9 +270,10 @@ class Table:
 
     # writing
 
-    def write(self, rows: DataFrame, mode: str = "create", partition_by: tuple[str, ...] = (), merge_on: tuple[str, ...] = (), codec: str = "snappy", schema: T.StructType | None = None, properties: dict[str, str] | None = None) -> Summary:
+    def write(self, rows: DataFrame, mode: str = "create", partition_by: tuple[str, ...] = (), merge_on: tuple[str, ...] = (), codec: str = "snappy", schema: T.StructType | None = None, properties: dict[str, str] | None = None, before: Callable[[], None] = lambda: None) -> Summary:
         """Commit rows. mode: create (any earlier version is no parent), append or merge. A column __seq, if there,
-        orders the rows (last wins in a merge) and is not stored. All checks come before the first file."""
+        orders the rows (last wins in a merge) and is not stored. All checks come before the first file. before: runs once
+        the rows are written and nothing is committed yet; if it raises, their files go."""
         order = "__seq" in rows.columns
         # without a schema every column is optional: whether a plan may give nulls is no promise of its author
         schema = schema or T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name != "__seq"])
@@ -310,7 +313,7 @@ class Table:
             tagged = keyed.unionByName(tagged.where(~whole).withColumn("__last", F.lit(True)))
         else:
             tagged = tagged.withColumn("__last", F.lit(True))
-        added = self._write_data(tagged, fields, parts, codec, order)
+        added = self._write_data(tagged, fields, parts, codec, order, before)
         superseded = [d for d in added if d.stats.pop("superseded")]
         if not added and parts and mode != "merge":
             raise SinkError("a partitioned write of no rows")
@@ -322,33 +325,41 @@ class Table:
         meta_path, snapshot = self._commit(prior, fields, last_id, parts, added, removed, mode, properties or {})
         return Summary(sum(d.records for d in added), sum(d.size for d in added), len(added), meta_path, snapshot, summary)
 
-    def _write_data(self, df: DataFrame, fields: list[dict], parts: list[P.Field], codec: str, order: bool) -> list[DataFile]:
+    def _write_data(self, df: DataFrame, fields: list[dict], parts: list[P.Field], codec: str, order: bool, before: Callable[[], None]) -> list[DataFile]:
         by_name = {f["name"]: f for f in fields}
         columns = [c for c in df.columns if not c.startswith("__")]
         staging = f"{self.path}/data/.staging-{uuid.uuid4().hex}"
         out = df.select(*(F.col(f"`{c}`").alias(c, metadata={"parquet.field.id": by_name[c]["id"]}) for c in columns), F.col("__last"), *([F.col("__seq")] if order else []), *(P.expression(p, F.col(f"`{p.transform.source}`")).alias(f"__p{i}") for i, p in enumerate(parts)))
         folders = [f"__p{i}" for i in range(len(parts))]
-        if parts:  # a file per tuple and task; a tuple's rows meet in one task unless adaptive execution splits it
-            out = out.repartition(*folders)
+        if parts:  # a tuple's rows meet in one task, or in several where they are many: adaptive execution may split a rebalance
+            out = out.hint("rebalance", *map(F.col, folders))
         if order:
             out = out.sortWithinPartitions("__last", *folders, "__seq").drop("__seq")
         elif parts:
             out = out.sortWithinPartitions("__last", *folders)
         writer = out.select(*(F.col(f"`{c}`") for c in columns), F.col("__last"), *(F.col(p).cast("string").alias(p) for p in folders)).write.option("compression", codec)
-        writer.partitionBy("__last", *folders).parquet(staging)
+        try:
+            writer.partitionBy("__last", *folders).parquet(staging)
+            before()
+        except BaseException:
+            self.files.remove(staging)
+            raise
         got = self.files.walk(staging, ".parquet")
         if not got:
             if not parts:
                 self.spark.createDataFrame([], self._typed(fields)).coalesce(1).write.option("compression", codec).mode("overwrite").parquet(staging)
                 got = self.files.walk(staging, ".parquet")
         stats = self._stats(got, fields, [c for c in columns], parts) if got else {}
-        added = []
-        for source in got:
+
+        def placed(source: str) -> DataFile:
             s = stats.get(source, {"records": 0, "partition": {}, "value_counts": {}, "null_value_counts": {}, "lower": {}, "upper": {}})
             folder = "/".join(f"{p.name}={P.path_text(p, _plain(p.result, s['partition'].get(p.name)) if p.result == 'int' else s['partition'].get(p.name))}" for p in parts)
             target = f"{self.path}/data/{folder + '/' if folder else ''}{uuid.uuid4().hex}.parquet"
             self.files.move(source, target)
-            added.append(DataFile(target, s["records"], self.files.size(target), {p.name: _plain(p.result, s["partition"].get(p.name)) for p in parts}, {k: s[k] for k in ("value_counts", "null_value_counts", "lower", "upper")} | {"superseded": "__last=false" in source}))
+            return DataFile(target, s["records"], self.files.size(target), {p.name: _plain(p.result, s["partition"].get(p.name)) for p in parts}, {k: s[k] for k in ("value_counts", "null_value_counts", "lower", "upper")} | {"superseded": "__last=false" in source})
+
+        with ThreadPoolExecutor(16) as pool:  # a store may take its time for each
+            added = list(pool.map(placed, got))
         self.files.remove(staging)
         return added
 
@@ -485,7 +496,9 @@ class Table:
             "metadata-log": [*(prior["metadata-log"] if prior else []), *([{"timestamp-ms": prior["last-updated-ms"], "metadata-file": f"{folder}/v{self.version}.metadata.json"}] if prior else [])],
         }
         path = f"{folder}/v{version}.metadata.json"
-        self.files.write(path, json.dumps(meta, indent=2).encode())
+        # of two writers that saw the same version, one finds this file made
+        if not self.files.write(path, json.dumps(meta, indent=2).encode(), replace=not prior):
+            raise SinkError(f"version {version} exists already: another writer was here")
         self.files.write(f"{folder}/version-hint.text", str(version).encode())
         self.version, self.meta = version, meta
         return path, snapshot
