@@ -60,27 +60,6 @@ def sum_of_squares(counts: dict[int, int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[list[int]]:
-    open_bins: dict[int, list[list[int]]] = {}
-    number = np.zeros(capacity + 1, np.int64)
-    bins: list[list[int]] = []
-    for size in sorted(counts, reverse=True):
-        for _ in range(counts[size]):
-            fits = np.flatnonzero(number[size:capacity])
-            if len(fits):
-                gap = int(fits[0]) + size
-                own = open_bins[gap].pop()
-                number[gap] -= 1
-            else:
-                gap, own = capacity, []
-                bins.append(own)
-            own.append(size)
-            if gap > size:
-                open_bins.setdefault(gap - size, []).append(own)
-                number[gap - size] += 1
-    return bins
-
-
 def plan(counts: dict[int, int], capacity: int, most_items: int = 60_000) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, multiplicity, first sequence, offset): piece r of a length, first rank <= r < first rank +
     multiplicity, is in sequence first sequence + r - first rank."""
@@ -235,15 +214,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
     return shape.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def packed(pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = 1024, rows_per_rank: int = 1_000_000) -> DataFrame:
     """pieces with sequence_id and offset. Pieces of one length are interchangeable; repeated rows are packed each.
 
-    The driver sees counts by length and salt, capacity times salts of them at most. A piece's rank is its row number
-    within length and salt, plus the counts of the salts before, so that a length with most of the pieces is
-    many groups.
+    A piece that fills a sequence, as most of a corpus of long texts do, takes a negative number from its place in its
+    partition, and never moves. Of all others, a piece's rank is its row number within length and salt, plus the counts of the
+    salts before: a length has a salt for each ``rows_per_rank`` of its pieces. The driver sees one count for each of these.
     """
     pieces = checkpoint(pieces)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    full = pieces.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < capacity)
+    spark = pieces.sparkSession
+    sizes = [(length, -(-n // rows_per_rank)) for length, n in rest.groupBy("length").count().collect()]
+    salts = spark.createDataFrame(sizes, "length long, _salts long")
+    salted = rest.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("_salts"))).drop("_salts")
     by: dict[int, list[tuple[int, int]]] = {}
     for length, salt, n in salted.groupBy("length", "_salt").count().collect():
         by.setdefault(length, []).append((salt, n))
@@ -258,7 +243,6 @@ def packed(pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFram
     for length, rank, times, sequence, offset in plan(counts, capacity):
         slots.setdefault(length, []).append((rank, times, sequence, offset))
     packed = {n: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for n, rows in slots.items()}
-    spark = pieces.sparkSession
     bases = spark.createDataFrame(base, "length long, _salt long, _base long")
     ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")).cast("long") - 1)
     ranked = ranked.join(F.broadcast(bases), ["length", "_salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_r") + F.col("_base")).alias("_r"))
@@ -274,4 +258,4 @@ def packed(pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFram
                 sequence[at], offset[at] = seq[i] + rank[at] - first[i], off[i]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return full.unionAll(ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
