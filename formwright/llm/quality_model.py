@@ -151,11 +151,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", most_rows: int = 8000, **settings) -> Trees:
     """Fit on at most ``most_rows`` labelled documents (those with the smallest hash of the id; ids labelled twice count
-    twice). labels may be restricted before the call; null labels and ids are left out. Only this bounded list of
+    twice, and of more rows with these ids than that, ``most_rows`` are used). labels may be restricted before the call; null labels and ids are left out. Only this bounded list of
     ids is broadcast, and only its documents' statistics reach the driver."""
     usable = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("label"))
     picked = usable.orderBy(F.xxhash64("_id"), "_id", "label").limit(most_rows)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "_id").select("label", "text").mapInArrow(_features, "label double, x binary").collect()
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "_id").select("label", "text").mapInArrow(_features, "label double, x binary").orderBy(F.xxhash64("label", "x"), "label", "x").limit(most_rows).collect()
     rows.sort(key=lambda r: (r.label, bytes(r.x)))  # the same model whatever the order of the tasks
     x = np.array([np.frombuffer(r.x) for r in rows]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.label for r in rows]), **settings)
