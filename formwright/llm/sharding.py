@@ -67,14 +67,14 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) per row of docs. The law is ``rows``: counts differ by
     one at most, for the bound on a shard's load is its even share.
 
-    A row's place on the ring is the MD5 sum of its id as text (null: of the empty text). Ranks within a cell order
+    A row's place on the ring is the MD5 sum of its id as text (null: of a word with the text's checksum). Ranks within a cell order
     by that sum, then id, size and checksum; equal rows are interchangeable. Only the counts of the ring's cells reach
     the driver, a fixed number. A null text has size 1 and checksum 0.
     """
     if shards < 1:
         raise ValueError("at least one shard")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.crc32(t.cast("binary")).cast("string"))).cast("binary"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), digest.alias("_h"))
     rows = rows.withColumn("_cell", F.conv(F.substring("_h", 1, RING_BITS // 4), 16, 10).cast("int"))
     rows = checkpoint(rows)
