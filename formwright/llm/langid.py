@@ -43,12 +43,16 @@ def vocabulary(path: str) -> list[str]:
     return sorted({p for p in got if p.removeprefix(START).isalpha()} | {START})
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters, as Unicode has them, in lower case and each with the mark of a start."""
+def runs_of(text: str | None) -> list[str]:
+    """Runs of letters, as Unicode has them, in lower case."""
     text = (text or "").lower()
     if not text.isascii() and not _NUMERALS.isdisjoint(text):
         text = text.translate(_BLANKS)
-    return [START + w for w in _RUNS.findall(text)]
+    return _RUNS.findall(text)
+
+
+def words_of(text: str | None) -> list[str]:
+    return [START + w for w in runs_of(text)]
 
 
 def _points(words: list[str], length: int) -> np.ndarray:
@@ -267,7 +271,7 @@ def _predict(model: Model, key: str):
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                lists = [words_of(t) for t in batch.column(1).to_pylist()]
+                lists = [runs_of(t) for t in batch.column(1).to_pylist()]
                 if len(index) > _MOST_KNOWN:
                     index.clear()
                 new = list({w for ws in lists for w in ws if w not in index and len(w) <= _MOST_LETTERS})
@@ -275,7 +279,7 @@ def _predict(model: Model, key: str):
                     base = len(index)
                     while base + len(new) > len(scores):
                         scores = np.concatenate([scores, np.zeros_like(scores)])
-                    scores[base : base + len(new)] = model.word_scores(new, lattice)
+                    scores[base : base + len(new)] = model.word_scores([START + w for w in new], lattice)
                     index.update(zip(new, range(base, base + len(new)), strict=True))
                     _KNOWN[key] = (lattice, index, scores)
                 langs, probabilities = [], []
@@ -284,11 +288,12 @@ def _predict(model: Model, key: str):
                         langs.append(UNKNOWN)
                         probabilities.append(0.0)
                         continue
-                    at = [index.get(w, -1) for w in ws]
-                    total = model.prior + scores[np.array([i for i in at if i >= 0], np.int64)].sum(0)
-                    long = [w for w, i in zip(ws, at, strict=True) if i < 0]
-                    if long:
-                        total = total + model.word_scores(long, lattice).sum(0)
+                    try:
+                        total = model.prior + scores[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0)
+                    except KeyError:  # runs too long to be kept
+                        at = [index[w] for w in ws if w in index]
+                        long = [START + w for w in ws if w not in index]
+                        total = model.prior + scores[np.array(at, np.int64)].sum(0) + model.word_scores(long, lattice).sum(0)
                     p = np.exp(total - total.max())
                     best = int(p.argmax())
                     langs.append(model.langs[best])
