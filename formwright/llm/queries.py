@@ -72,7 +72,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_spans(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op5_substring_bytes")
+#: 50-byte windows of the hexadecimal text, cut from stretches of a thousand so that no cut has far to go; told apart by MD5.
+_OP5 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+c AS (SELECT doc_id, n, p, substr(h, 2 * p + 1, 2098) AS part FROM (SELECT doc_id, h, n, unnest(range(0, greatest(n - 49, 0), 1000)) AS p FROM d)),
+w AS (SELECT doc_id, p + k AS i, md5_number(substr(part, 2 * k + 1, 100)) AS v FROM (SELECT doc_id, p, part, unnest(range(0, least(1000, n - 49 - p))) AS k FROM c)),
+m AS (SELECT v, min(doc_id) AS least FROM w GROUP BY v),
+g AS (SELECT w.doc_id, w.i FROM w JOIN m ON w.v = m.v WHERE m.least < w.doc_id),
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM g),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM s),
+runs AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, k),
+cut AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM runs),
+per AS (SELECT cut.doc_id, sum(b - a)::BIGINT AS gone, count(*)::BIGINT AS spans, string_agg(substr(d.h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(d.h), 2 * max(b) + 1) AS kept
+        FROM cut JOIN d ON d.doc_id = cut.doc_id GROUP BY cut.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(from_hex(coalesce(kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
+
+
+@query("op5_substring_bytes", _OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formwright.llm.suffix import byte_spans
 
