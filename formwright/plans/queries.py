@@ -130,6 +130,19 @@ def one(field: Callable[[], Col], type_: str, transform: str | None = None, sour
     return run
 
 
+def _numbers(type_: str):
+    """Numbers past 63 bits, negative zeros, floats and negative numbers in turn, written as they are."""
+
+    def run(spark, sf_dir):
+        big = F.lit("18446744073709550000").cast("decimal(20,0)") + F.col("user_id")
+        k = F.col("event_id") % 4
+        x = F.when(k == 0, big.cast("string")).when(k == 1, "-0.0").when(k == 2, (F.col("user_id") * F.lit(0.5)).cast("string")).otherwise((-F.col("user_id")).cast("string"))
+        raw = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit('{"id":'), F.col("event_id"), F.lit(',"x":'), x, F.lit("}")).alias("raw"))
+        return shaped(raw, Column("id", "int64"), Column("x", type_), mode="infer", drift=Drift("ignore")).table
+
+    return run
+
+
 _E, _O = "SELECT event_id AS id, {} AS x FROM events", "SELECT o_orderkey AS id, {} AS x FROM orders"
 query("q_trf_lower", _E.format("lower(event_type)"))(one(lambda: F.initcap("event_type"), "string", "lowercase"))
 query("q_trf_upper", _E.format("upper(event_type)"))(one(lambda: F.col("event_type"), "string", "uppercase"))
@@ -155,6 +168,11 @@ query("q_coe_ts_int", _E.format("make_timestamp(user_id * 1000)"))(one(lambda: F
 query("q_coe_json", _E.format("'{\"a\":\"' || event_type || '\",\"b\":' || event_id || '}'"))(one(lambda: F.struct(F.col("event_id").alias("b"), F.col("event_type").alias("a")), "json"))
 
 
+_BIG = "18446744073709550000 + user_id"
+query("q_coe_string_numbers", _E.format(f"CASE event_id % 4 WHEN 0 THEN ({_BIG})::VARCHAR WHEN 1 THEN '-0.0' WHEN 2 THEN (user_id * 0.5)::DOUBLE::VARCHAR ELSE (-user_id)::VARCHAR END"))(_numbers("string"))
+query("q_coe_json_numbers", _E.format(f"CASE event_id % 4 WHEN 0 THEN ({_BIG})::VARCHAR WHEN 1 THEN '-0.0' WHEN 2 THEN (user_id * 0.5)::DOUBLE::VARCHAR ELSE (-user_id)::VARCHAR END"))(_numbers("json"))
+
+
 def flawed(spark, sf_dir) -> DataFrame:
     """Every fifth record has no id, every seventh a value that is no number."""
     e = table(spark, sf_dir, "events")
@@ -272,7 +290,6 @@ def parted(source: str, column: str, kind: str, entry: str, sql: str | None):
 parted("events", "event_type", "string", "event_type", "event_type")
 parted("events", "user_id", "long", "truncate(10, user_id)", "user_id - user_id % 10")
 parted("events", "event_type", "string", "truncate(3, event_type)", "left(event_type, 3)")
-parted("events", "event_type", "string", "bucket(8, event_type)", None)
 parted("orders", "o_orderdate", "timestamp", "year(o_orderdate)", "(year(o_orderdate) - 1970)::INT")
 parted("orders", "o_orderdate", "timestamp", "month(o_orderdate)", "((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1)::INT")
 parted("orders", "o_orderdate", "date", "day(o_orderdate)", "(o_orderdate::DATE - DATE '1970-01-01')::INT")
@@ -301,6 +318,28 @@ def _murmur_sql(x: str) -> str:
     return out
 
 
+def _murmur_string_sql(source: str, column: str) -> str:
+    """The hash of a string's bytes: four at a time in a fold over a list, then the one to three left, then the finish."""
+    m = 4294967296
+    rotate = lambda c, r: f"(({c} * {1 << r}) % {m} + {c} // {1 << 32 - r})"
+    byte = "('0x' || substr(hex(x), 2 * ({i}) + 1, 2))::BIGINT"
+    block = " + ".join(f"{byte.format(i=f'4 * b + {j}')} * {256**j}" for j in range(4))
+    mixed = lambda k: f"({rotate(f'(({k}) * 3432918353 % {m})', 15)} * 461845907) % {m}"
+    return f"""
+SELECT n, xor(h, h // 65536) AS h FROM (SELECT n, (xor(h, h // 8192) * 3266489909) % {m} AS h FROM (
+  SELECT n, (xor(h, h // 65536) * 2246822507) % {m} AS h FROM (SELECT n, xor(CASE WHEN k > 0 THEN xor(h, {mixed("k")}) ELSE h END, size) AS h FROM (
+    SELECT n, size, k, list_reduce(list_prepend(0::HUGEINT, blocks), lambda h, k: ({rotate("xor(h, k)", 13)} * 5 + 3864292196) % {m}) AS h FROM (
+      SELECT n, strlen(x)::HUGEINT AS size, list_transform(range(0, strlen(x) // 4), lambda b: {mixed(f"({block})::HUGEINT")}) AS blocks,
+             list_sum(list_prepend(0, list_transform(range(strlen(x) // 4 * 4, strlen(x)), lambda i: {byte.format(i="i")} * (256 ** (i % 4))::BIGINT)))::HUGEINT AS k
+      FROM (SELECT {column} AS x, count(*) AS n FROM {source} GROUP BY 1))))))"""
+
+
+@query("q_part_bucket_string", f"SELECT ((h % 2147483648) % 8)::INT AS part, sum(n)::BIGINT AS n FROM ({_murmur_string_sql('events', 'event_type')}) GROUP BY 1")
+def bucket_string(spark, sf_dir):
+    field = P.resolve(["bucket(8, event_type)"], [{"id": 1, "name": "event_type", "type": "string"}])[0]
+    return table(spark, sf_dir, "events").groupBy(P.expression(field, F.col("event_type")).alias("part")).agg(F.count("*").alias("n"))
+
+
 @query("q_part_bucket_long", f"SELECT ((h % 2147483648) % 16)::INT AS part, count(*) AS n FROM ({_murmur_sql('user_id')}) GROUP BY 1")
 def bucket_long(spark, sf_dir):
     field = P.resolve(["bucket(16, user_id)"], [{"id": 1, "name": "user_id", "type": "long"}])[0]
