@@ -57,7 +57,7 @@ def main() -> None:
     cases = {
         "jsonl_to_parquet": to_parquet,
         "jsonl_to_table": to_table,
-        "infer_sample": lambda: Q.infer.infer_columns(lines.sample(lines.records(lines.jsonl(spark, big, dense=False)).good, 1000)),
+        "infer_sample": lambda: Q.infer.infer_columns(lines.sample(lines.read(spark, big, dense=False), 1000)),
         "drift_warn_clean": partial(to_parquet, "warn"),
         "drift_ignore_one_column": partial(to_parquet, "ignore", columns[:1]),
         "drift_warn_all_rows": partial(to_parquet, "warn", columns[:1]),

@@ -106,7 +106,7 @@ def described(spark, path: str) -> list[str]:
 
 def inferred(spark, path: str | None, text: str | None, form: str, n: int, flatten: bool, dataset: str) -> tuple[S.Spec, int]:
     records = lines.read_text(spark, text, form) if text is not None else lines.read(spark, lines.spooled(path), form)
-    taken = lines.sample(records.good, n)
+    taken = lines.sample(records, n)
     columns = infer_columns(taken, flatten)
     count = taken.count()
     if not count:

@@ -59,7 +59,7 @@ class Shaped:
     def __init__(self, spec: Spec, records: Records, columns: tuple[Column, ...] | None = None):
         self.spec, self.records = spec, records
         if columns is None:
-            inferred = infer_columns(sample(records.good, spec.infer_sample), spec.flatten) if spec.mode == "infer" else ()
+            inferred = infer_columns(sample(records, spec.infer_sample), spec.flatten) if spec.mode == "infer" else ()
             columns = effective(spec, inferred)
         self.columns = columns
         self.schema = schema_of(columns, spec)

@@ -86,7 +86,7 @@ def _values(rows: str) -> str:
 
 @query("q_infer_orders", _values("(0, 'amount', 'float64'), (1, 'at', 'timestamp'), (2, 'cust.key', 'int64'), (3, 'cust.status', 'string'), (4, 'day', 'date'), (5, 'id', 'int64'), (6, 'priority', 'string')"))
 def infer_orders(spark, sf_dir):
-    return _columns(spark, infer.infer_columns(lines.sample(records(orders_json(spark, sf_dir)).good, 1000)))
+    return _columns(spark, infer.infer_columns(lines.sample(records(orders_json(spark, sf_dir)), 1000)))
 
 
 @query("q_infer_events_flat", _values("(0, 'id', 'int64'), (1, 'tags', 'json'), (2, 'ts', 'string'), (3, 'type', 'string'), (4, 'user.id', 'int64'), (5, 'value', 'float64')"))

@@ -8,7 +8,7 @@ import shutil
 import sys
 import tempfile
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +17,11 @@ from pyspark.sql import types as T
 
 from formwright.errors import SourceError
 from formwright.plans.fence import fenced
+from formwright.sources.files import Files
 
 #: The largest record that is read; a longer one is a reject.
 MOST_BYTES = 256 * 1024 * 1024
+_FEW_BLOCKS = 200_000
 RAW = T.StructType([T.StructField("seq", T.LongType()), T.StructField("raw", T.StringType())])
 
 
@@ -34,6 +36,8 @@ class Records:
     most_bytes: int
     #: Rows of bad that come from no line: where an array ends or breaks.
     faults: DataFrame | None = None
+    #: The text files that the lines come from, if each of their lines is one.
+    path: str | None = None
 
     def broken(self) -> int:
         return 0 if self.faults is None else self.faults.count()
@@ -54,7 +58,8 @@ def numbered(files: DataFrame) -> DataFrame:
         rows.append((b["_p"], b["_s"], before - b.least + 1))
         before += b.n
     table = files.sparkSession.createDataFrame(rows, "_p string, _s long, _add long")
-    return own.join(table, ["_p", "_s"]).select((F.col("_i") + F.col("_add")).alias("seq"), "raw")
+    # broadcast as far as its size is known to be small: lines then stay where they are, in their order
+    return own.join(F.broadcast(table) if len(rows) <= _FEW_BLOCKS else table, ["_p", "_s"]).select((F.col("_i") + F.col("_add")).alias("seq"), "raw")
 
 
 def jsonl(spark: SparkSession, path: str | list[str], dense: bool = True) -> DataFrame:
@@ -206,15 +211,38 @@ def spooled(path: str, stream: Iterable[str] | None = None) -> str:
 def read(spark: SparkSession, path: str, form: str = "jsonl", dense: bool = True) -> Records:
     if "://" not in path and not os.path.exists(path):
         raise SourceError(f"cannot open {path}")
-    return json_array(spark, path) if form == "json-array" else records(jsonl(spark, path, dense))
+    if not rereadable(path):
+        raise SourceError(f"{path} can be read only once; give a file, or - for the standard input")
+    return json_array(spark, path) if form == "json-array" else replace(records(jsonl(spark, path, dense)), path=path)
 
 
 def read_text(spark: SparkSession, text: str, form: str = "jsonl") -> Records:
     return json_array(spark, text=text) if form == "json-array" else records(inline(spark, text))
 
 
-def sample(good: DataFrame, n: int) -> DataFrame:
-    """The first n good records, all for 0."""
-    return good.orderBy("seq").limit(n) if n else good
-
-
+def sample(of: Records, n: int) -> DataFrame:
+    """The first n good records, all for 0. Of files, only as many lines are read as that takes, file by file."""
+    if not n:
+        return of.good
+    if of.path is None:
+        return of.good.orderBy("seq").limit(n)
+    spark = of.good.sparkSession
+    files = Files(spark)
+    found: list[str] = []
+    taken, good = 0, 0
+    for path in sorted(p for p in files.walk(of.path, "") if not p.rsplit("/", 1)[-1].startswith(("_", "."))) if files.is_folder(of.path) else [of.path]:
+        ask = 2 * (n - good) + 16
+        while True:
+            # the limit reads partition by partition from the first, and of a single file those are in order
+            head = [r.value for r in spark.read.option("lineSep", "\n").text(path).limit(ask).collect()]
+            rows = spark.createDataFrame([(taken + k, x) for k, x in enumerate(head, 1)], RAW)
+            got = records(rows, of.most_bytes).good.count()
+            if good + got >= n or len(head) < ask:
+                break
+            ask *= 4
+        found += head
+        taken, good = taken + len(head), good + got
+        if good >= n:
+            break
+    rows = spark.createDataFrame(list(enumerate(found, 1)), RAW)
+    return records(rows, of.most_bytes).good.orderBy("seq").limit(n)

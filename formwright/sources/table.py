@@ -222,7 +222,7 @@ class Table:
         """Files whose rows are the table; refused where deletes hide some of them."""
         data, deletes = self.live()
         if deletes:
-            raise SourceError("the table has delete files: a plain list of its data files would resurrect deleted rows")
+            raise SourceError("delete files hide some rows of this table, and a list of its data files would show them again")
         total = int(self.snapshot()["summary"]["total-records"]) if self.snapshot() else 0
         if sum(d.records for d in data) != total:
             raise SourceError("the data files do not add up to the snapshot's total")
