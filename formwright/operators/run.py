@@ -85,3 +85,26 @@ def run(spark: SparkSession, spec: Spec, records: lines.Records | None = None) -
     done = Table(spark, spec.output.path).write(rows, mode, parts, spec.output.merge_on, spec.output.compression, shaped.schema, before=before)
     out[0].path, out[0].table, out[0].bytes, out[0].row_groups = spec.output.path, done, done.bytes, done.files
     return out[0]
+
+
+class Feed:
+    """Lines given one after the other, and written together: for a program that makes records itself.
+
+    What is pushed stays in the driver until the flush, so a flush belongs after every so many lines.
+    """
+
+    def __init__(self, spark: SparkSession, spec: Spec):
+        self.spark, self.spec = spark, spec
+        self.lines: list[str] = []
+
+    def push(self, *records: str | dict) -> None:
+        self.lines += [r if isinstance(r, str) else json.dumps(r, ensure_ascii=False) for r in records]
+
+    def flush(self) -> Result | None:
+        """The run over what was pushed since the last one; None if that is nothing."""
+        if not self.lines:
+            return None
+        rows = self.spark.createDataFrame(list(enumerate(self.lines, 1)), lines.RAW)
+        done = run(self.spark, self.spec, lines.records(rows))
+        self.lines = []
+        return done

@@ -482,6 +482,36 @@ def cdc_current(spark, sf_dir):
     return changes.current_state(log(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_id") % 4 == 0)
 
 
+@query("q_cdc_envelope", f"SELECT user_id AS id, value AS amount FROM ({_LATEST}) WHERE event_id % 5 <> 0")
+def cdc_envelope(spark, sf_dir):
+    """Flat change records, shaped into a log of changes, and the current state that it tells."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    flat = as_json(e, "event_id", id=F.col("user_id"), amount=F.col("value"), __op=F.when(k % 5 == 0, "d").otherwise("u"), __deleted=(k % 5 == 0).cast("string"), __source_ts_ms=F.unix_millis(F.col("ts").cast("timestamp")), __lsn=k)
+    log = shaped(flat, Column("id", "int64", required=True), Column("amount", "float64"), *changes.ENVELOPE, drift=Drift("ignore")).table
+    return changes.current_of(log, ["id"])
+
+
+@query("q_watermark_file", "SELECT event_id FROM events")
+def watermark_file(spark, sf_dir):
+    """Two pulls with a watermark kept in a file between them: each row comes once."""
+    e, state = table(spark, sf_dir, "events").select("event_id"), f"{scratch(spark)}/state.json"
+    first, done = changes.pull(e, "event_id", state)
+    done()
+    again, _ = changes.pull(e, "event_id", state)
+    return first.unionAll(again)
+
+
+@query("q_ice_add_files", f"SELECT {_ROWS} FROM orders")
+def ice_add_files(spark, sf_dir):
+    """Files that two writers made side by side, committed in one snapshot."""
+    path, o = scratch(spark), orders_rows(spark, sf_dir)
+    for even in (True, False):
+        half(o, "id", even).write.parquet(f"{path}/data/shard-{even}")
+    t = Table(spark, path)
+    t.add_files(t.files.walk(f"{path}/data", ".parquet"))
+    return Table(spark, path).scan()
+
+
 @query("q_cdc_merge_delete", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 0.0 ELSE o_totalprice END AS amount FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT -o_orderkey - 1, 0.0 FROM orders WHERE o_orderkey % 5 = 1")
 def cdc_merge(spark, sf_dir):
     o = orders_rows(spark, sf_dir).select("id", "amount")

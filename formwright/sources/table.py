@@ -325,6 +325,34 @@ class Table:
         meta_path, snapshot = self._commit(prior, fields, last_id, parts, added, removed, mode, properties or {})
         return Summary(sum(d.records for d in added), sum(d.size for d in added), len(added), meta_path, snapshot, summary)
 
+    def add_files(self, paths: list[str], partition_by: tuple[str, ...] = ()) -> Summary:
+        """Commit Parquet files that exist already, where they are, in one snapshot: those of writers that worked side by side.
+        Their columns must be the table's, by name and type, and each file's rows of one partition."""
+        if not paths:
+            raise SinkError("no files to add")
+        paths = [self.files.full(p) for p in paths]
+        prior = self.meta
+        known = {f.path for f in self.live()[0]} if prior and self.snapshot() else set()
+        if again := known.intersection(paths):
+            raise SinkError(f"{sorted(again)[0]} is in the table already")
+        new = fields_of(T.StructType([T.StructField(f.name, f.dataType) for f in self.spark.read.option("mergeSchema", "true").parquet(*paths).schema.fields]))
+        fields, last_id = evolved(self.fields, new, prior["last-column-id"]) if prior else (new, len(new))
+        parts = self.partition if prior else P.resolve(partition_by, fields)
+        stats = self._stats(paths, fields, [f["name"] for f in fields], parts)
+        if parts:
+            values = F.struct(*(P.expression(p, F.col(f"`{p.transform.source}`")).alias(p.name) for p in parts))
+            rows = self.spark.read.parquet(*paths).select(local(F.col("_metadata.file_path")).alias("f"), values.alias("v"))
+            several = rows.groupBy("f").agg((~F.min("v").eqNullSafe(F.max("v"))).alias("mixed")).where("mixed").first()
+            if several:
+                raise SchemaError(f"{several.f} holds rows of several partitions")
+        empty = {"records": 0, "partition": {}, "value_counts": {}, "null_value_counts": {}, "lower": {}, "upper": {}}
+        added = []
+        for p in paths:
+            s = stats.get(p, empty)
+            added.append(DataFile(p, s["records"], self.files.size(p), {x.name: _plain(x.result, s["partition"].get(x.name)) for x in parts}, {k: s[k] for k in ("value_counts", "null_value_counts", "lower", "upper")}))
+        meta_path, snapshot = self._commit(prior, fields, last_id, parts, added, [], "append", {})
+        return Summary(sum(d.records for d in added), sum(d.size for d in added), len(added), meta_path, snapshot)
+
     def _write_data(self, df: DataFrame, fields: list[dict], parts: list[P.Field], codec: str, order: bool, before: Callable[[], None]) -> list[DataFile]:
         by_name = {f["name"]: f for f in fields}
         columns = [c for c in df.columns if not c.startswith("__")]
@@ -369,7 +397,7 @@ class Table:
     def _stats(self, paths: list[str], fields: list[dict], columns: list[str], parts: list[P.Field]) -> dict[str, dict]:
         """Counts and exact bounds per file, from one aggregate over the files just written; NaN is no bound."""
         own = [f for f in fields if f["name"] in columns]
-        df = self.spark.read.schema(T.StructType([x for x in self._typed(fields).fields if x.name in columns])).parquet(*paths)
+        df = self.spark.read.schema(T.StructType([T.StructField(x.name, x.dataType) for x in self._typed(fields).fields if x.name in columns])).parquet(*paths)
         aggs = [F.count("*").alias("n")]
         for f in own:
             c = F.col(f"`{f['name']}`")

@@ -40,10 +40,20 @@ def batch_writer(spec: Spec, path: str, name: str = "stream", order=None):
     return write
 
 
-def drain(spark: SparkSession, source: str, spec: Spec, path: str, checkpoint: str, name: str = "stream", files_per_batch: int | None = None, order=None) -> None:
-    """Everything that a folder of text files holds now, in batches; later calls go on from there."""
-    reader = spark.readStream
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.text(source).writeStream.foreachBatch(batch_writer(spec, path, name, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+def drain(spark: SparkSession, source: str | DataFrame, spec: Spec, path: str, checkpoint: str, name: str = "stream", files_per_batch: int | None = None, order=None) -> None:
+    """Everything that a source holds now, in batches; later calls go on from there. source: a folder of text files, or a
+    streaming DataFrame with a column ``value``, such as ``kafka`` gives."""
+    if isinstance(source, str):
+        reader = spark.readStream
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        source = reader.text(source)
+    stream = source.writeStream.foreachBatch(batch_writer(spec, path, name, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     stream.start().awaitTermination()
+
+
+def kafka(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
+    """The values of a topic as text, in the order of offset and partition as far as that goes: the stream that ``drain`` takes.
+    Needs Spark's Kafka package on the session's path."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest")
+    return reader.options(**options).load().select(F.col("value").cast("string").alias("value"), "partition", "offset")
