@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,7 @@ from formwright.operators import changes, cost, infer
 from formwright.operators import partition as P
 from formwright.operators.shape import Shaped
 from formwright.plans.spec import Column, Drift, Output, Spec
-from formwright.session import prepared
+from formwright.session import prepared, shared_folder
 from formwright.sources import lines
 from formwright.sources.lines import records
 from formwright.sources.table import Table
@@ -40,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A folder of its own for a query's tables, in the shared folder where the session names one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='formwright-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def stamp(c: str) -> Col:

@@ -42,3 +42,14 @@ def shipped(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         context._formwright = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where data that tasks write and read again belongs: the folder that the session names. A folder of this machine will do only
+    where all of Spark runs on it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="formwright-")
