@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from formwright.session import shared_folder
+
 #: The white space that separates words: ``[\\x20\\x09-\\x0D]``. ``bytes.split()`` cuts at exactly these.
 SPACE = b" \t\n\x0b\x0c\r"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the session names; own folder only if it names none."""
+    """Cut lineage with a reliable checkpoint in the folder that the session names."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="formwright-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
