@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -259,10 +260,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 #: Word scores that a Python worker has worked out, by model; bounded in number and in the words' length.
 _KNOWN: dict[str, tuple] = {}
-_MOST_KNOWN, _MOST_LETTERS = 300_000, 64
+_MOST_KNOWN, _MOST_LETTERS = 150_000, 64
 
 
-def _predict(model: Model, key: str):
+def _predict(model: Model, key: str, place: int):
+    """place: of the text within own."""
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _KNOWN:
             _KNOWN.clear()
@@ -271,7 +274,7 @@ def _predict(model: Model, key: str):
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                lists = [runs_of(t) for t in batch.column(1).to_pylist()]
+                lists = [runs_of(t) for t in pc.struct_field(batch.column(0), [place]).to_pylist()]
                 if len(index) > _MOST_KNOWN:
                     index.clear()
                 new = list({w for ws in lists for w in ws if w not in index and len(w) <= _MOST_LETTERS})
@@ -310,8 +313,9 @@ def judged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     import hashlib
 
     key = hashlib.md5(model.table.tobytes() + repr(model.langs).encode()).hexdigest()
-    shape, own = packed_rows(docs, F.col(named(text)).cast("string").alias("text"))
-    return shape.mapInArrow(_predict(model, key), T.StructType([own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    shape, own = packed_rows(docs)  # the text goes to Python once, within its row
+    place = docs.columns.index(text)
+    return shape.mapInArrow(_predict(model, key, place), T.StructType([own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
