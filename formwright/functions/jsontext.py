@@ -25,7 +25,7 @@ def text(value: Any) -> str:
     if isinstance(value, bool) or value is None:
         return {True: "true", False: "false", None: "null"}[value]
     if isinstance(value, int):
-        return str(value) if -(1 << 63) <= value < 1 << 64 else number(float(value))
+        return str(value) if abs(value) < 10**38 else number(float(str(value)))
     if isinstance(value, float):
         return number(value)
     if isinstance(value, str):

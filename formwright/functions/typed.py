@@ -78,7 +78,7 @@ def at(f: Col, c: Column) -> Col:
 
 def _value(c: Column, x: Col) -> V.Value:
     none = F.lit(None)
-    empty = V.Value(F.lit(V.NULL), none.cast("boolean"), none.cast("long"), none.cast("double"), none.cast("string"), none.cast("string"), none.cast("decimal(20,0)"))
+    empty = V.Value(F.lit(V.NULL), none.cast("boolean"), none.cast("long"), none.cast("double"), none.cast("string"), none.cast("string"), none.cast("decimal(38,0)"))
     name, kind = {T.LongType: ("i", V.INT), T.DoubleType: ("f", V.FLOAT), T.BooleanType: ("b", V.BOOL), T.StringType: ("s", V.STR)}[type(parsed_type(c))]
     return replace(empty, kind=F.when(x.isNull(), V.NULL).otherwise(kind), **{name: x})
 

@@ -66,7 +66,7 @@ class Value:
     f: Column
     s: Column
     text: Column
-    #: A whole number past 64 bits with a sign, up to 64 bits without: as text it keeps its digits.
+    #: A whole number past 64 bits with a sign, of 38 digits at most: as text it keeps its digits.
     big: Column
 
     def parts(self) -> dict[str, Column]:
@@ -89,12 +89,14 @@ class Value:
 def value(v: Column, kind: Column, raw: Column, path: tuple[str, ...], composite: bool = True) -> Value:
     none = F.lit(None).cast("string")
     f = F.try_variant_get(F.when(kind == FLOAT, v), "$", "double")
+    wide = F.when(kind == FLOAT, F.schema_of_variant(v)).rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
+    big = F.try_variant_get(F.when(wide, v), "$", "decimal(38,0)")
+    past = (big >= F.lit(str(1 << 63)).cast("decimal(38,0)")) | (big < F.lit(str(-(1 << 63))).cast("decimal(38,0)"))
     if path and not any("'" in p or "?" in p or p.isdigit() for p in path):
-        # a variant has no negative zero; the sign is in the text
-        token = F.get_json_object(F.when(f == 0, raw), "$" + "".join(f"['{p}']" for p in path))
+        # a variant has no negative zero, and none of a fraction of zeros; both are in the text
+        token = F.get_json_object(F.when((f == 0) | past, raw), "$" + "".join(f"['{p}']" for p in path))
         f = F.when((f == 0) & token.startswith("-"), F.lit(-0.0)).otherwise(f)
-    wide = F.when(kind == FLOAT, F.schema_of_variant(v)) == "DECIMAL(20,0)"
-    big = F.try_variant_get(F.when(wide, v), "$", "decimal(20,0)")
+        past = past & token.rlike("^-?[0-9]+$")
     return Value(
         kind,
         F.try_variant_get(F.when(kind == BOOL, v), "$", "boolean"),
@@ -102,7 +104,7 @@ def value(v: Column, kind: Column, raw: Column, path: tuple[str, ...], composite
         f,
         F.try_variant_get(F.when(kind == STR, v), "$", "string"),
         jsontext.part_text(raw, v, path, kind.isin(ARRAY, OBJECT)) if composite else none,
-        F.when((big > 0) & (big < F.lit(str(1 << 64)).cast("decimal(20,0)")), big),
+        F.when(past, big),
     )
 
 

@@ -176,3 +176,14 @@ def test_line_numbers_over_several_blocks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r.seq, r.n) for r in got) == [(i + 1, i) for i in range(3000)]
+
+
+@pytest.mark.parametrize("kind", ["string", "json"])
+def test_whole_numbers_past_64_bits_keep_their_digits(spark, kind):
+    written = ["9223372036854775808", "9999999999999999999", "18446744073709551615", "18446744073709551616", "18446744073709559000", "-9223372036854775809", "9" * 38]
+    other = {"18446744073709551700.0": "1.8446744073709552e+19", "1e20": "1e+20", "1" + "0" * 38: "1e+38", "-0.0": "-0.0"}
+    text = "\n".join(f'{{"x":{x}}}' for x in [*written, *other])
+    assert [r.x for r in shaped(spark, text, Column("x", kind), drift=Drift("ignore")).rows.orderBy("__seq").collect()] == [*written, *other.values()]
+    if kind == "json":
+        nested = "\n".join(f'{{"x":[{x}]}}' for x in [*written, "1" + "0" * 400])
+        assert [r.x for r in shaped(spark, nested, Column("x", kind), drift=Drift("ignore")).rows.orderBy("__seq").collect()] == [f"[{x}]" for x in [*written, "null"]]
