@@ -57,3 +57,16 @@ def test_unigram_models_are_rebuilt():
     spec = pieces.parse(model)
     assert spec.unigram and [p for p, _, _ in spec.pieces] == ["<unk>", "▁ab", "a", "b", "▁"]
     assert pieces.build(spec).encode("  ab   ba ", add_special_tokens=False).ids == [1, 4, 3, 2]
+
+
+def test_agreement_is_unknown_without_the_other_library(monkeypatch):
+    import sys
+
+    from formwright.llm.pieces import Encoder
+    from formwright.llm.queries import tokenizer
+
+    path = tokenizer("piece_bpe_32k.model")
+    asked = Encoder(path, 1).encode(["some words", ""])
+    monkeypatch.setitem(sys.modules, "sentencepiece", None)
+    alone = Encoder(path, 1).encode(["some words", ""])
+    assert [x for x, _ in alone] == [x for x, _ in asked] and [ok for _, ok in asked] == [True, True] and [ok for _, ok in alone] == [None, None]
