@@ -30,6 +30,8 @@ from formwright.sources.files import Files
 NAMES = {"boolean": "boolean", "bigint": "long", "double": "double", "string": "string", "date": "date", "timestamp_ntz": "timestamp"}
 SPARK = {v: k for k, v in NAMES.items()}
 PATH_ID, POS_ID = 2147483546, 2147483545
+#: Places of deleted rows that a task writes, about.
+DELETES_PER_TASK = 500_000
 KEYS = ("boolean", "long", "timestamp", "date", "string")
 _AVRO = {"boolean": "boolean", "int": "int", "long": "long", "double": "double", "string": "string", "date": {"type": "int", "logicalType": "date"}, "timestamp": {"type": "long", "logicalType": "timestamp-micros", "adjust-to-utc": False}}
 
@@ -313,7 +315,7 @@ class Table:
             tagged = keyed.unionByName(tagged.where(~whole).withColumn("__last", F.lit(True)))
         else:
             tagged = tagged.withColumn("__last", F.lit(True))
-        added = self._write_data(tagged, fields, parts, codec, order, before)
+        added = self._write_data(tagged, fields, parts, codec, order, before, mode == "merge")
         superseded = [d for d in added if d.stats.pop("superseded")]
         if not added and parts and mode != "merge":
             raise SinkError("a partitioned write of no rows")
@@ -353,7 +355,7 @@ class Table:
         meta_path, snapshot = self._commit(prior, fields, last_id, parts, added, [], "append", {})
         return Summary(sum(d.records for d in added), sum(d.size for d in added), len(added), meta_path, snapshot)
 
-    def _write_data(self, df: DataFrame, fields: list[dict], parts: list[P.Field], codec: str, order: bool, before: Callable[[], None]) -> list[DataFile]:
+    def _write_data(self, df: DataFrame, fields: list[dict], parts: list[P.Field], codec: str, order: bool, before: Callable[[], None], merge: bool) -> list[DataFile]:
         by_name = {f["name"]: f for f in fields}
         columns = [c for c in df.columns if not c.startswith("__")]
         staging = f"{self.path}/data/.staging-{uuid.uuid4().hex}"
@@ -365,9 +367,11 @@ class Table:
             out = out.sortWithinPartitions("__last", *folders, "__seq").drop("__seq")
         elif parts:
             out = out.sortWithinPartitions("__last", *folders)
-        writer = out.select(*(F.col(f"`{c}`") for c in columns), F.col("__last"), *(F.col(p).cast("string").alias(p) for p in folders)).write.option("compression", codec)
+        # a writer sorts its rows by the folders that they go to: without parts or a merge there is one, and no sort
+        folders = ["__last", *folders] if parts or merge else []
+        writer = out.select(*(F.col(f"`{c}`") for c in columns), *(F.col(p).cast("string").alias(p) for p in folders)).write.option("compression", codec)
         try:
-            writer.partitionBy("__last", *folders).parquet(staging)
+            (writer.partitionBy(*folders) if folders else writer).parquet(staging)
             before()
         except BaseException:
             self.files.remove(staging)
@@ -394,8 +398,7 @@ class Table:
     def _typed(self, fields: list[dict]) -> T.StructType:
         return T.StructType([T.StructField(f["name"], T._parse_datatype_string(SPARK[f["type"]]), True, {"parquet.field.id": f["id"]}) for f in fields])
 
-    def _stats(self, paths: list[str], fields: list[dict], columns: list[str], parts: list[P.Field]) -> dict[str, dict]:
-        """Counts and exact bounds per file, from one aggregate over the files just written; NaN is no bound."""
+    def _bounds(self, paths: list[str], fields: list[dict], columns: list[str], parts: list[P.Field]) -> DataFrame:
         own = [f for f in fields if f["name"] in columns]
         df = self.spark.read.schema(T.StructType([T.StructField(x.name, x.dataType) for x in self._typed(fields).fields if x.name in columns])).parquet(*paths)
         aggs = [F.count("*").alias("n")]
@@ -404,8 +407,14 @@ class Table:
             real = F.when(~F.isnan(c), c) if f["type"] == "double" else c
             aggs += [F.count(c).alias(f"c{f['id']}"), F.min(real).alias(f"l{f['id']}"), F.max(real).alias(f"u{f['id']}")]
         aggs += [F.first(P.expression(p, F.col(f"`{p.transform.source}`"))).alias(f"p{i}") for i, p in enumerate(parts)]
-        out = {}
-        for r in df.groupBy(local(F.col("_metadata.file_path")).alias("f")).agg(*aggs).collect():
+        # bounds of text alone would have each task sort all of its rows by file; beside a set, an empty one, they are hashed
+        aggs += [F.collect_set(F.lit(None).cast("int")).alias("hashed")]
+        return df.groupBy(local(F.col("_metadata.file_path")).alias("f")).agg(*aggs)
+
+    def _stats(self, paths: list[str], fields: list[dict], columns: list[str], parts: list[P.Field]) -> dict[str, dict]:
+        """Counts and exact bounds per file, from one aggregate over the files just written; NaN is no bound."""
+        own, out = [f for f in fields if f["name"] in columns], {}
+        for r in self._bounds(paths, fields, columns, parts).collect():
             out[r.f] = {
                 "records": r.n,
                 "partition": {p.name: r[f"p{i}"] for i, p in enumerate(parts)},
@@ -439,22 +448,25 @@ class Table:
         out.keys_inserted = out.distinct_keys - out.keys_updated
         removed: list[DataFile] = []
         if gone and (out.prior_rows_replaced or out.duplicates_in_input):
-            removed = self._write_deletes(reduce(DataFrame.unionAll, gone), [*data, *superseded], parts, codec)
+            removed = self._write_deletes(reduce(DataFrame.unionAll, gone), out.prior_rows_replaced + out.duplicates_in_input, [*data, *superseded], parts, codec)
         out.delete_files, out.position_deletes = len(removed), sum(d.records for d in removed)
         return out, removed
 
     def _whole(self, d: DataFile) -> DataFrame:
         return self.spark.range(d.records).select(F.lit(d.path).alias("_f"), F.col("id").alias("_p"))
 
-    def _write_deletes(self, places: DataFrame, data: list[DataFile], parts: list[P.Field], codec: str) -> list[DataFile]:
-        """One file per partition that loses rows, in the folder of the rows' own partition, ordered by file and place."""
+    def _write_deletes(self, places: DataFrame, number_of: int, data: list[DataFile], parts: list[P.Field], codec: str) -> list[DataFile]:
+        """One file per partition that loses rows, in the folder of the rows' own partition, ordered by file and place; several
+        where there are many. number_of: how many places there are."""
         tuples = sorted({json.dumps(d.partition, sort_keys=True, default=str) for d in data})
         number = {t: i for i, t in enumerate(tuples)}
         by = {number[json.dumps(d.partition, sort_keys=True, default=str)]: d for d in data}
         table = self.spark.createDataFrame([(d.path, number[json.dumps(d.partition, sort_keys=True, default=str)]) for d in data], "_f string, __t int")
         staging = f"{self.path}/data/.staging-{uuid.uuid4().hex}"
         meta = lambda n: {"parquet.field.id": n}
-        rows = places.distinct().join(table, "_f").repartition("__t").sortWithinPartitions("__t", "_f", "_p")
+        # blocks of a file's rows are dealt out, so that a task sorts a bounded number however many go; no place comes twice
+        tasks = -(-number_of // DELETES_PER_TASK)
+        rows = places.join(F.broadcast(table), "_f").repartition(tasks, "__t", "_f", F.floor(F.col("_p") / DELETES_PER_TASK)).sortWithinPartitions("__t", "_f", "_p")
         rows.select(F.col("_f").alias("file_path", metadata=meta(PATH_ID)), F.col("_p").alias("pos", metadata=meta(POS_ID)), "__t").write.option("compression", codec).partitionBy("__t").parquet(staging)
         paths = self.files.walk(staging, ".parquet")
         counts = dict(self.spark.read.schema("file_path string").parquet(*paths).groupBy(local(F.col("_metadata.file_path")).alias("f")).count().collect()) if paths else {}

@@ -112,3 +112,25 @@ def test_a_hot_partition_is_several_files(spark, tmp_path):
 def test_folder_names_keep_letters():
     field = P.resolve(["s"], [{"id": 1, "name": "s", "type": "string"}])[0]
     assert [P.path_text(field, x) for x in ("Zürich", "a b/c", "日本-1_2.3", None)] == ["Zürich", "a_b_c", "日本-1_2.3", "__NULL__"]
+
+
+def test_bounds_of_text_are_hashed_not_sorted(spark, tmp_path):
+    write(spark, tmp_path / "t", [(1, "eu", 1), (2, None, 2), (3, "us", 3)], "create")
+    t = Table(spark, str(tmp_path / "t"))
+    plan = t._bounds([d.path for d in t.live()[0]], t.fields, ["id", "region", "v"], [])._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    bounds = [(d.stats["lower"].get(2), d.stats["upper"].get(2)) for d in t.live()[0] if d.records]
+    assert min(b[0] for b in bounds if b[0]) == "eu" and max(b[1] for b in bounds if b[1]) == "us"
+
+
+def test_many_deletes_are_several_files(spark, tmp_path, monkeypatch):
+    from formwright.sources import table
+
+    monkeypatch.setattr(table, "DELETES_PER_TASK", 20)
+    write(spark, tmp_path / "t", [(i, "eu", i) for i in range(300)])
+    m = write(spark, tmp_path / "t", [(i % 200, "us", 1000 + i) for i in range(400)]).merge
+    assert (m.prior_rows_replaced, m.duplicates_in_input, m.position_deletes) == (200, 200, 400) and m.delete_files > 3
+    for d in Table(spark, str(tmp_path / "t")).live()[1]:
+        places = [(r.file_path, r.pos) for r in spark.read.parquet(d.path).collect()]
+        assert places == sorted(places) and len(places) == d.records < 200
+    assert rows(spark, tmp_path / "t") == sorted([(i, "us", 1200 + i) if i < 200 else (i, "eu", i) for i in range(300)], key=str)
