@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column as Col
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from formwright.functions import jsontext
 from formwright.functions.values import get, segments
@@ -192,12 +193,12 @@ def path_counts(rows: DataFrame, most_examples: int) -> DataFrame:
 def report(rows: DataFrame, columns: tuple[Column, ...], most_examples: int, number_of=lambda seqs: {s: s for s in seqs}) -> Report:
     """From rows (seq, new, misfits) of all pushed records. number_of turns positions of lines into those of records."""
     out = Report()
-    by_kind: list[list] = [[], []]
-    # by first sight, as many as are told of; the driver never holds more
-    for kind in (0, 1):
-        ranked = path_counts(rows, most_examples).where(F.col("kind") == kind).orderBy(F.col("firsts")[0], "path").limit(MOST_PATHS + 1).collect()
-        out.truncated |= len(ranked) > MOST_PATHS
-        by_kind[kind] = ranked[:MOST_PATHS]
+    # by first sight, as many as are told of; the driver never holds more. Both kinds come of one pass
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("firsts")[0], "path"))
+    ranked = path_counts(rows, most_examples).withColumn("rank", rank).where(F.col("rank") <= MOST_PATHS + 1).orderBy("rank").collect()
+    by_kind = [[r for r in ranked if r.kind == kind] for kind in (0, 1)]
+    out.truncated = any(len(rs) > MOST_PATHS for rs in by_kind)
+    by_kind = [rs[:MOST_PATHS] for rs in by_kind]
     names = number_of(sorted({r.firsts[0].seqs for rs in by_kind for r in rs}))
     declared = {c.name: c.type for c in columns}
     for kind, to in ((0, out.new_fields), (1, out.type_mismatches)):

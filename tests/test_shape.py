@@ -187,3 +187,15 @@ def test_whole_numbers_past_64_bits_keep_their_digits(spark, kind):
     if kind == "json":
         nested = "\n".join(f'{{"x":[{x}]}}' for x in [*written, "1" + "0" * 400])
         assert [r.x for r in shaped(spark, nested, Column("x", kind), drift=Drift("ignore")).rows.orderBy("__seq").collect()] == [f"[{x}]" for x in [*written, "null"]]
+
+
+def test_a_drift_report_counts_paths_in_one_pass(spark, monkeypatch):
+    from formwright.operators import drift
+
+    calls, count = [], drift.path_counts
+    monkeypatch.setattr(drift, "path_counts", lambda *a: calls.append(a) or count(*a))
+    monkeypatch.setattr(drift, "MOST_PATHS", 2)
+    text = "\n".join(json.dumps({"n": "x" if k % 2 else k, f"new{k % 4}": k}) for k in range(12))
+    d = shaped(spark, text, Column("n", "int64")).report().drift
+    assert len(calls) == 1 and d.truncated and sorted(d.new_fields) == ["new0", "new1"]
+    assert (d.new_fields["new1"].count, d.new_fields["new1"].first_record, d.type_mismatches["n"].count, d.type_mismatches["n"].first_record) == (3, 2, 6, 2)
