@@ -551,7 +551,8 @@ def streamed(spark, sf_dir, **output) -> str:
     top = scratch(spark)
     j = events_json(spark, sf_dir)
     for part in (0, 1):
-        j.where(F.col("seq") % 2 == part).coalesce(2).select("raw").write.mode("append").text(f"{top}/in")
+        # two files, but their lines are made by all tasks
+        j.where(F.col("seq") % 2 == part).select("raw").repartition(2).write.mode("append").text(f"{top}/in")
     spec = Spec("s", mode="strict", columns=(Column("id", "int64", required=True), Column("user", "int64", "user.id"), Column("value", "float64")), output=Output("iceberg", **output), drift=Drift("ignore"))
     for _ in range(2):  # the second finds nothing new
         drain(spark, f"{top}/in", spec, f"{top}/table", f"{top}/state", files_per_batch=2)

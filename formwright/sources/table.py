@@ -323,7 +323,7 @@ class Table:
         summary = None
         removed: list[DataFile] = []
         if mode == "merge":
-            summary, removed = self._merge(rows, keys, whole, fields, parts, superseded, codec, prior)
+            summary, removed = self._merge(added, keys, whole, fields, parts, superseded, codec, prior)
         meta_path, snapshot = self._commit(prior, fields, last_id, parts, added, removed, mode, properties or {})
         return Summary(sum(d.records for d in added), sum(d.size for d in added), len(added), meta_path, snapshot, summary)
 
@@ -425,8 +425,11 @@ class Table:
             }
         return out
 
-    def _merge(self, rows: DataFrame, keys, whole, fields, parts, superseded, codec, prior) -> tuple[MergeSummary, list[DataFile]]:
+    def _merge(self, added: list[DataFile], keys, whole, fields, parts, superseded, codec, prior) -> tuple[MergeSummary, list[DataFile]]:
         quoted = [F.col(f"`{k}`") for k in keys]
+        # the rows' keys come from the files just written: to make the rows again may cost far more
+        kinds = T.StructType([f for f in self._typed(fields).fields if f.name in keys])
+        rows = self.spark.read.schema(kinds).parquet(*(d.path for d in added)) if added else self.spark.createDataFrame([], kinds)
         head = rows.agg(F.count(F.when(whole, 1)).alias("keyed"), F.count(F.when(~whole, 1)).alias("nulls"), *(x for i, k in enumerate(quoted) for x in (F.min(F.when(whole, k)).alias(f"l{i}"), F.max(F.when(whole, k)).alias(f"u{i}")))).first()
         out = MergeSummary(null_key_rows=head.nulls)
         delta = rows.where(whole).select(*quoted).distinct()

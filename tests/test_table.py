@@ -134,3 +134,21 @@ def test_many_deletes_are_several_files(spark, tmp_path, monkeypatch):
         places = [(r.file_path, r.pos) for r in spark.read.parquet(d.path).collect()]
         assert places == sorted(places) and len(places) == d.records < 200
     assert rows(spark, tmp_path / "t") == sorted([(i, "us", 1200 + i) if i < 200 else (i, "eu", i) for i in range(300)], key=str)
+
+
+def test_a_merge_makes_its_rows_once(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def told(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    write(spark, tmp_path / "t", [(i, "eu", i) for i in range(20)])
+    dear = spark.createDataFrame([(i % 30, "us", i, i) for i in range(10, 50)], SCHEMA).mapInArrow(told, SCHEMA)
+    m = Table(spark, str(tmp_path / "t")).write(dear, "merge", (), ("id",)).merge
+    assert (m.distinct_keys, m.keys_updated, m.keys_inserted, m.duplicates_in_input, m.null_key_rows) == (30, 20, 10, 10, 0)
+    # twice: rows with a key and rows without one are planned apart
+    with open(log) as f:
+        assert len(f.read()) <= 2 * 40
