@@ -1,4 +1,8 @@
-"""All links of near copies for the SimHash operator's similarity form: exact prefix keys, a gate of fingerprints, whole sets.
+"""All links of near copies for the SimHash operator's similarity form: fuzzy hashing, then exact prefix keys for the rest.
+
+Fuzzy hashing comes first. Golay keys of the sets' fingerprints make classes of texts within 4 bits (``simhash.fuzzy_classes``);
+each text of a class is verified against the class's central one on whole sets. What is linked by that is not compared again:
+the rest only looks for links between texts that are still in different components.
 
 Two sets with a similarity of 0.8 or more share 0.8 of the larger one at least. Under any common order of shingles, the
 first n // 5 + 1 of both then have one in common, so these are the keys under which texts meet. A first pass counts the keys of
@@ -6,15 +10,18 @@ all texts in the order of their hashes; those that several texts have come last
 many documents share so leaves the keys of all but near copies. The two fingerprints of a meeting must then be within ``GATE``
 bits, and what is left is verified on the whole sets, as hashes of 32 bits.
 
-Under a key with many texts, all of them near copies as a rule, all first meet one of them, the text with the fewest rare
+Where many texts share a key, their places in the two orders tell which of them can be alike at all. If these pairs are few, they
+are verified like others. Else the texts, near copies as a rule, all first meet one of them, the text with the fewest rare
 shingles: what the others were made from, or nearest to that. Further rounds take such a text among those that are
-still outside of the key's largest component. What is then left outside is compared, in blocks, with all texts that keys
+still outside of the key's largest component. What is then left outside is verified pair by pair if the pairs that places and
+fingerprints allow are few; else it is compared, in blocks, with all texts that keys
 connect it to; a block's sets are shipped once, its intersections are one matrix product, and links alone leave it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formwright.llm.common import checkpoint, mix, named, packed_rows
+from formwright.llm.common import checkpoint, mix, named, packed_rows, released
 from formwright.llm.graph import connected_components
+from formwright.llm.simhash import fuzzy_classes
 
 WIDTH = 5
 #: At a similarity of 0.8, each of 64 bits differs with probability 0.152; more than 26 do with 5e-7. Small sets, whose
@@ -35,6 +43,8 @@ _MEETING = np.dtype([("key", "<u4"), ("node", "<i8"), ("n", "<i4"), ("at", "<u2"
 _MOST_KNOWN = 100_000
 #: A key that more texts have comes late in the order.
 OFTEN = 8
+#: So many pairs a text are few. Beyond so many to look at, a key's pairs are not counted.
+FEW, MOST_PAIRS = 8, 1 << 24
 
 
 class _Words(dict):
@@ -168,8 +178,23 @@ def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.
     return got[:, 0], got[:, 1]
 
 
-def _meet(most: int):
-    """All pairs under keys of up to ``most`` texts; the texts of other keys, as they are."""
+def _possible(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Of a key's texts in the order of their sizes: which pairs can be near copies by their places. None if these are too many
+    to look at."""
+    n = rows["n"].astype(np.int64)
+    cap = (9 * (n - rows["at"].astype(np.int64)) - 4 * n) // 4  # as _can: the largest set that one has room for
+    count = np.maximum(0, np.searchsorted(n, cap, side="right") - np.arange(len(n)) - 1)
+    if count.sum() > MOST_PAIRS:
+        return None
+    a = np.repeat(np.arange(len(n)), count)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + a + 1
+    ok = n[a] <= cap[b]
+    return a[ok], b[ok]
+
+
+def _meet(most: int, few: int = FEW):
+    """All pairs under keys of up to ``most`` texts, and under those where few pairs are possible; the texts of other keys that
+    have a possible partner, as they are."""
 
     def meet(table: pa.Table) -> pa.Table:
         rows = _all(table, _MEETING)
@@ -179,7 +204,7 @@ def _meet(most: int):
         rows = rows[~again]
         start = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
         size = np.diff(start, append=len(rows))
-        left, right = [], []
+        left, right, rest = [], [], []
         some = rows[np.repeat((size > 1) & (size <= most), size)]
         for d in range(1, most):
             if len(some) <= d:
@@ -189,8 +214,18 @@ def _meet(most: int):
             ok = ok[_can(x[ok], y[ok])]
             left.append(x["node"][ok])
             right.append(y["node"][ok])
+        many = size > most
+        for s, n in zip(start[many].tolist(), size[many].tolist(), strict=True):
+            own = rows[s : s + n]
+            pairs = _possible(own)
+            if pairs is None:
+                rest.append(own.tobytes())
+            elif len(pairs[0]) <= few * n:
+                left.append(own["node"][pairs[0]])
+                right.append(own["node"][pairs[1]])
+            else:
+                rest.append(own[np.unique(np.concatenate(pairs))].tobytes())
         a, b = _distinct(left, right)
-        rest = [rows[s : s + n].tobytes() for s, n in zip(start.tolist(), size.tolist(), strict=True) if n > most]
         return pa.table({"a": pa.array([*a.tolist(), *[None] * len(rest)], pa.int64()), "b": pa.array([*b.tolist(), *[None] * len(rest)], pa.int64()), "v": pa.array([*[None] * len(a), *rest], pa.binary())})
 
     return meet
@@ -285,16 +320,27 @@ def _left_outside(joined: DataFrame, parts_of: DataFrame, sets: DataFrame, block
     return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(_block, "a long, b long")
 
 
-def _linked(docs: DataFrame, most: int = 9, keys_per_task: int = 400_000, rounds: int = 8, block: int = 2048) -> tuple[DataFrame, DataFrame]:
+def _fuzzy(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text and the central one of its class of fingerprints, which Golay keys make."""
+    prints = checkpoint(nodes.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp")))
+    classes = fuzzy_classes(checkpoint(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
+    named = prints.join(classes, "fp", "left").select("node", F.coalesce("component", "fp").alias("class"))
+    central = named.groupBy("class").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("class", "a")
+    return checkpoint(named.join(central, "class").where("node <> a").select("a", F.col("node").alias("b")))
+
+
+def _linked(docs: DataFrame, most: int = 9, keys_per_task: int = 400_000, rounds: int = 8, block: int = 2048, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """Of docs (row, doc_id, text): (row, doc_id, node, n, fp) per row, and (node, component) of the nodes with a link."""
     kinds = "row long, doc_id long, node long, n long, fp long, part long, v binary"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, size // 30 // keys_per_task)
     first = checkpoint(docs.mapInArrow(_nodes(parts), kinds))
     nodes = first.where("v is null").select("row", "doc_id", "node", "n", "fp")
-    often = first.where("v is not null").select("part", "v").groupBy("part").applyInArrow(_often, "h long")
-    keyed = docs.select("text").mapInArrow(_emit(parts, _bits(checkpoint(often))), "part long, v binary")
-    met = checkpoint(keyed.groupBy("part").applyInArrow(_meet(most), "a long, b long, v binary"))
+    fuzzy = _fuzzy(nodes)
+    released(docs.sparkSession)
+    bits = _bits(checkpoint(first.where("v is not null").select("part", "v").groupBy("part").applyInArrow(_often, "h long")))
+    met = checkpoint(docs.select("text").mapInArrow(_emit(parts, bits), "part long, v binary").groupBy("part").applyInArrow(_meet(most, few), "a long, b long, v binary"))
+    released(docs.sparkSession)
     prints = nodes.groupBy("node").agg(F.min(F.when(F.col("n") >= GATED, F.col("fp"))).alias("fp"))
 
     def gated(pairs: DataFrame) -> DataFrame:
@@ -304,18 +350,26 @@ def _linked(docs: DataFrame, most: int = 9, keys_per_task: int = 400_000, rounds
 
     pairs = gated(met.where("v is null").select("a", "b"))
     large = checkpoint(met.where("v is not null").select("v").mapInArrow(_unpack, "key long, node long, n int, at int"))
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).unionAll(large.select("node")).distinct()
+    wanted = reduce(DataFrame.unionAll, [x.select(F.col(c).alias("node")) for x in (fuzzy, pairs) for c in "ab"], large.select("node")).distinct()
     wanted = checkpoint(wanted)
-    sets = docs.select("text").mapInArrow(_sets(_bits(wanted)), "node long, own binary")
-    sets = checkpoint(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    bits = _bits(wanted)
+    sets = checkpoint(docs.select("text").mapInArrow(_sets(bits), "node long, own binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    released(docs.sparkSession)
 
     def links(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
-        return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "own_a", "own_b").mapInArrow(_verify, "a long, b long"))
+        out = checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "own_a", "own_b").mapInArrow(_verify, "a long, b long"))
+        released(docs.sparkSession)
+        return out
 
-    found = links(pairs)
+    found = links(fuzzy)
+    parts_of = connected_components(found)
+    a, b = (parts_of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    between = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    found = found.unionAll(links(between.select("a", "b")))
     parts_of = connected_components(found)
-    if large.isEmpty():
+    held = large.count()
+    if not held:
         return nodes, parts_of
     n, k, o_n, o_k = F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at")
     enough = 9 * F.least(n - k, o_n - o_k) >= 4 * (n + o_n)  # as _can
@@ -338,7 +392,14 @@ def _linked(docs: DataFrame, most: int = 9, keys_per_task: int = 400_000, rounds
         found = found.unionAll(more)
         parts_of = connected_components(found)
     if left:
-        last = checkpoint(_left_outside(joined, parts_of, sets, block))
+        last = None
+        if left <= 8 * few * held:
+            other = joined.select("key", F.struct("at", "n", "node", "component").alias("o"))
+            rest = gated(joined.where("component <> top").join(other, "key").where(apart).select(*pair))
+            if rest.count() <= few * sets.count():
+                last = links(rest)
+        if last is None:
+            last = checkpoint(_left_outside(joined, parts_of, sets, block))
         parts_of = connected_components(found.unionAll(last))
     return nodes, parts_of
 

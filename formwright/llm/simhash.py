@@ -214,6 +214,14 @@ def _verify(bits: int):
     return verify
 
 
+def fuzzy_classes(prints: DataFrame, bits: int = 4, keys_per_task: int = 1_000_000) -> DataFrame:
+    """(node, component) of different fingerprints, a checkpointed column fp: component is the smallest one reachable over links of
+    ``bits`` differing bits, found under shared Golay keys. Only fingerprints with a link appear."""
+    parts = max(16, -(-prints.count() * 182 // keys_per_task))
+    keyed = prints.select("fp").mapInArrow(_emit(parts), "part long, k binary, f binary")
+    return connected_components(keyed.groupBy("part").applyInArrow(_verify(bits), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4, keys_per_task: int = 1_000_000) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of docs; component_id is the smallest doc_id reachable over links
     of ``bits`` (4 at most) differing fingerprint bits.
@@ -227,10 +235,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fps = checkpoint(fingerprints(docs, doc_id, text))
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     groups = checkpoint(groups)
-    parts = max(16, -(-groups.count() * 182 // keys_per_task))
-    keyed = groups.select("fp").mapInArrow(_emit(parts), "part long, k binary, f binary")
-    links = keyed.groupBy("part").applyInArrow(_verify(bits), "a long, b long")
-    parts_of = connected_components(links)
+    parts_of = fuzzy_classes(groups, bits, keys_per_task)
     named = groups.join(parts_of, groups.fp == parts_of.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = named.join(least, "component").select("fp", "component_id")
@@ -240,9 +245,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """docs with one row of each group of near copies left, by 5-word shingles and a similarity of 0.8 or more.
 
-    At that similarity, fingerprints of 64 bits differ in 10 bits on average and in 20 at times, out of reach of any key
-    that a Golay decoding can give. So candidates come from prefix keys that miss no pair; fingerprints gate them, and
-    the sets decide (see ``jaccard``, also on which row stays). All columns of docs stay as they are.
+    Fuzzy hashing comes first: Golay keys of the sets' fingerprints make classes, and each text of a class is held against the
+    class's own central text by whole sets. At that similarity, fingerprints differ in 10 bits on average and in 20 at
+    times, out of reach of any key that a Golay decoding can give. So an exact prefix filter then adds the links
+    between what fuzzy hashing has left apart (see ``jaccard``, also on which row stays). All columns of docs stay as they are.
     """
     from formwright.llm.jaccard import one_per_component
 

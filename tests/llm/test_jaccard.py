@@ -74,3 +74,36 @@ def test_null_ids_and_repeated_rows(spark):
     assert len(one) == 1 and one[0][0] is None
     assert sorted((r for r in got if r[1] != texts[1]), key=str) == sorted([rows[0], rows[5], rows[6], rows[8], rows[9]], key=str)
     assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], SHAPE), "").count() == 0
+
+
+def test_fuzzy_hashing_comes_first(spark, monkeypatch):
+    """Texts whose fingerprints are within 4 bits are linked by Golay classes; the prefix filter is not asked about them."""
+    r = random.Random(3)
+    rows = []
+    for k in range(6):
+        words = [f"v{r.randrange(5000)}" for _ in range(600)]
+        rows += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join([*words, "end"]), "en")]
+    docs = spark.createDataFrame(rows, SHAPE)
+    prints = {i: jaccard.fingerprint(jaccard.shingles(t)[1]) for i, t, _ in rows}
+    near = {k for k in range(6) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= 4}
+    assert near
+    # without any prefix key, what is left are the links of fuzzy hashing
+    monkeypatch.setattr(jaccard, "_meet", lambda most, few: lambda table: jaccard.pa.table({c: jaccard.pa.array([], t) for c, t in (("a", jaccard.pa.int64()), ("b", jaccard.pa.int64()), ("v", jaccard.pa.binary()))}))
+    got = {}
+    for x in jaccard.near_copies(docs).collect():
+        got.setdefault(x.component, set()).add(x.doc_id)
+    assert {min(g) // 2 for g in got.values() if len(g) == 2} >= near
+
+
+def test_places_settle_a_key_of_many_texts():
+    """Of texts that share a key late in their order, only those with room for enough shared shingles are paired."""
+    rows = jaccard.np.zeros(80, jaccard._MEETING)
+    rows["key"], rows["node"], rows["n"], rows["at"] = 1, range(80), 71, 15
+    meet = jaccard._meet(9)
+    table = lambda rows: jaccard.pa.table({"v": jaccard.pa.array([rows.tobytes()], jaccard.pa.binary())})
+    assert meet(table(rows)).num_rows == 0
+    rows["at"][[5, 9]] = 0
+    assert meet(table(rows)).select(["a", "b"]).to_pylist() == [{"a": 5, "b": 9}]
+    rows["at"][:60] = 0  # too many pairs to list: the texts that have a possible partner stay together
+    got = meet(table(rows))
+    assert got.num_rows == 1 and len(jaccard._all(got, jaccard._MEETING)) == 60
