@@ -28,7 +28,7 @@ probability 2^-64 a pair, or up to 2^-37 where they alternate two words in the o
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -51,17 +51,49 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
 
 
-class _Words(dict):
-    """Codes of words met before; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = code = xxhash.xxh64_intdigest(word, 42)
-        return code
+_P1, _P2, _P3, _P4, _P5 = (_U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << _U(bits) | x >> _U(64 - bits)
+
+
+def _xxh64(rows: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of each row of a matrix of bytes with less than 32 columns."""
+    size = rows.shape[1]
+    acc = np.full(len(rows), (seed + int(_P5) + size) & (1 << 64) - 1, np.uint64)
+    at = 0
+    while size - at >= 8:
+        lane = np.ascontiguousarray(rows[:, at : at + 8]).view("<u8")[:, 0]
+        acc = _turned(acc ^ _turned(lane * _P2, 31) * _P1, 27) * _P1 + _P4
+        at += 8
+    if size - at >= 4:
+        acc = _turned(acc ^ np.ascontiguousarray(rows[:, at : at + 4]).view("<u4")[:, 0].astype(np.uint64) * _P1, 23) * _P2 + _P3
+        at += 4
+    for k in range(at, size):
+        acc = _turned(acc ^ rows[:, k].astype(np.uint64) * _P5, 11) * _P1
+    acc = (acc ^ acc >> _U(33)) * _P2
+    acc = (acc ^ acc >> _U(29)) * _P3
+    return acc ^ acc >> _U(32)
+
+
+def _word_codes(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """XXH64 of each of the words that text holds one after the other, those of one length at once."""
+    begin = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes), np.uint64)
+    order = np.argsort(sizes.astype(np.uint16) if len(sizes) and sizes.max() < 1 << 16 else sizes, kind="stable")
+    own = sizes[order]
+    cuts = np.flatnonzero(np.diff(own, prepend=-1))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=False):
+        size, at = int(own[lo]), order[lo:hi]
+        if size < 32:
+            out[at] = _xxh64(text[begin[at][:, None] + np.arange(size)])
+        else:
+            raw = memoryview(np.ascontiguousarray(text))
+            out[at] = [xxhash.xxh64_intdigest(raw[b : b + size], 42) for b in begin[at].tolist()]
+    return out
 
 
-_WORD_CODES = _Words()
 #: Powers of the base and of its inverse, as far as they were needed yet.
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -175,9 +207,7 @@ def _slice(rows, doc, null, start, end, data, rule: Rule) -> Slice:
         after = np.zeros(len(text), bool)
         after[:-1] = inside[1:]
         ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-        raw = text.tobytes()
-        split = [raw[a:b].split() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        codes = np.fromiter((_WORD_CODES[w] for own in split for w in own), np.uint64, len(begins))
+        codes = _word_codes(text[inside], ends - begins)
         token_at, token_to = begins, ends
         first, last = np.searchsorted(begins, start), np.searchsorted(begins, end)
     else:
@@ -403,24 +433,24 @@ def _windows(rule: Rule, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]
         if not table.num_rows:
             return none
         graph = _Graph(replies)
-        h, doc = _own_windows(table, rule, graph, copies_in(table, replies))
+        h, doc = _own_windows(slices(table, rule, copies_in(table, replies)), rule, graph)
         return _by_document(h, doc, parts, table.column("bucket")[0].as_py(), []) if len(h) else none
 
     return windows
 
 
-def _open(s: Slice, graph: _Graph, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    repeated, inside, _ = graph.windows(s, rule)
+def _open(s: Slice, rule: Rule, told: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    repeated, inside, _ = told
     at = np.flatnonzero(repeated & ~inside)
     return at, stretch(s.sums, s.starts[at], s.starts[at] + rule.width), s.doc[s.of[at]]
 
 
-def _own_windows(table: pa.Table, rule: Rule, graph: _Graph, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _own_windows(own: Iterable[Slice], rule: Rule, graph: _Graph) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a bucket's open windows, ascending, each with its smallest document in the bucket."""
     hs, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if len(graph.h):
-        for s in slices(table, rule, copies):
-            _, h, doc = _open(s, graph, rule)
+        for s in own:
+            _, h, doc = _open(s, rule, graph.windows(s, rule))
             order = np.lexsort((doc, h))
             at = _runs(h[order])
             hs.append(h[order][at])
@@ -453,9 +483,10 @@ def _covered(rule: Rule, graph: _Graph, own_h: np.ndarray, own_doc: np.ndarray,
     """Which tokens of the slice go. elsewhere: of the bucket's open windows, those with a smaller document elsewhere."""
     out = np.zeros(len(s.sums), np.int64)
     if len(s.starts) and len(graph.h):
-        repeated, inside, low = graph.windows(s, rule)
+        told = graph.windows(s, rule)
+        repeated, inside, low = told
         gone = repeated & inside & (low < s.doc[s.of])
-        at, h, doc = _open(s, graph, rule)
+        at, h, doc = _open(s, rule, told)
         i = np.searchsorted(own_h, h)
         gone[at] = elsewhere[i] | (own_doc[i] < doc)
         start = s.starts[gone]
@@ -467,7 +498,9 @@ def _covered(rule: Rule, graph: _Graph, own_h: np.ndarray, own_doc: np.ndarray,
 def _documents(rule: Rule, parts: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def documents(table: pa.Table, replies: pa.Table) -> pa.Table:
         graph, copies = _Graph(replies), copies_in(table, replies)
-        own_h, own_doc = _own_windows(table, rule, graph, copies)
+        # slices of words are kept for the second look, at some 50 bytes a word; those of bytes would take too much
+        own = list(slices(table, rule, copies)) if rule.words else None
+        own_h, own_doc = _own_windows(own or slices(table, rule, copies), rule, graph)
         elsewhere = np.zeros(len(own_h), bool)
         part = _deal(own_h, parts)
         asked = np.lexsort((own_h, own_doc, part))
@@ -480,7 +513,7 @@ def _documents(rule: Rule, parts: int, with_text: bool) -> Callable[[pa.Table, p
         n, removed, spans, sha, texts = [], [], [], [], []
         whole, until, data = utf8(table.column("text"))
         nothing = table.column("text").is_null().to_numpy()
-        for s in slices(table, rule, copies):
+        for s in own or slices(table, rule, copies):
             gone = _covered(rule, graph, own_h, own_doc, elsewhere, s)
             for i, f, t in zip(s.rows.tolist(), s.first.tolist(), s.last.tolist(), strict=True):
                 if copies[i] and t - f >= rule.width:
@@ -492,8 +525,10 @@ def _documents(rule: Rule, parts: int, with_text: bool) -> Callable[[pa.Table, p
                 begin = int(whole[i])
                 here = gone[f:t]
                 if rule.words:
-                    words = [bytes(s.text[s.base + a : s.base + b]) for a, b in zip(s.token_at[f:t][~here].tolist(), s.token_to[f:t][~here].tolist(), strict=True)] if k < t - f else []
-                    kept = b" ".join(words)
+                    # the text of a stretch that stays is cut where its words were
+                    turns = np.flatnonzero(np.diff(here.astype(np.int8), prepend=1, append=1)).tolist()
+                    stay = zip(turns[::2], turns[1::2], strict=True)
+                    kept = b" ".join(w for a, b in stay for w in bytes(s.text[s.base + int(s.token_at[f + a]) : s.base + int(s.token_to[f + b - 1])]).split())
                 else:
                     raw = np.frombuffer(s.text, np.uint8, t - f, begin) if t > f else np.zeros(0, np.uint8)
                     kept = (raw[~here] if k else raw).tobytes()
