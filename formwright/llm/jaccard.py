@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formwright.llm.common import checkpoint, mix, named, packed_rows, released
+from formwright.llm.common import checkpoint, kept, mix, named, packed_rows, released
 from formwright.llm.graph import connected_components
 from formwright.llm.simhash import fuzzy_classes
 
@@ -53,16 +53,14 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def shingles(text: str | None) -> tuple[int, np.ndarray]:
     """The hash of a text's case-folded words, and the sorted set of its shingles' hashes: one if it has fewer than five
     words, none if it has no word."""
-    if len(_WORDS) > _MOST_KNOWN:
-        _WORDS.clear()
+    known = kept("jaccard", _Words)
+    if len(known) > _MOST_KNOWN:
+        known.clear()
     words = (text or "").casefold().split()
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     node = int(np.array([xxhash.xxh64_intdigest(h.tobytes(), 42)], np.uint64).view(np.int64)[0])
     if not len(h):
         return node, h

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formwright.llm.common import checkpoint, named, packed_rows
+from formwright.llm.common import checkpoint, kept, named, packed_rows, trimmed
 
 #: Numbers that are not decimal digits, such as Roman numerals and fractions: a pattern takes them for word characters.
 _NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
@@ -195,6 +195,7 @@ def expected(lattice: Lattice, words: list[str], times: np.ndarray, table: np.nd
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        trimmed()
         got: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = got.setdefault(lang, Counter())
@@ -258,8 +259,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return model
 
 
-#: Word scores that a Python worker has worked out, by model; bounded in number and in the words' length.
-_KNOWN: dict[str, tuple] = {}
+#: Word scores that a Python worker has worked out are bounded in number and in the words' length.
 _MOST_KNOWN, _MOST_LETTERS = 150_000, 64
 
 
@@ -267,11 +267,10 @@ def _predict(model: Model, key: str, place: int):
     """place: of the text within own."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _KNOWN:
-            _KNOWN.clear()
-            _KNOWN[key] = (Lattice(model.pieces), {}, np.zeros((1 << 14, len(model.prior))))
-        lattice, index, scores = _KNOWN[key]
+        known = kept(("langid", key), lambda: [Lattice(model.pieces), {}, np.zeros((1 << 14, len(model.prior)))])
+        lattice, index, scores = known
         for whole in batches:
+            trimmed()
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 lists = [runs_of(t) for t in pc.struct_field(batch.column(0), [place]).to_pylist()]
@@ -284,7 +283,7 @@ def _predict(model: Model, key: str, place: int):
                         scores = np.concatenate([scores, np.zeros_like(scores)])
                     scores[base : base + len(new)] = model.word_scores([START + w for w in new], lattice)
                     index.update(zip(new, range(base, base + len(new)), strict=True))
-                    _KNOWN[key] = (lattice, index, scores)
+                    known[2] = scores
                 langs, probabilities = [], []
                 for ws in lists:
                     if not ws or not model.langs:

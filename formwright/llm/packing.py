@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from formwright.llm.common import checkpoint
+from formwright.llm.common import checkpoint, kept, trimmed
 
-#: A worker's tokenizer and the ids of chunks it has met, bounded.
-_WORKER: dict[str, object] = {}
+#: Of the ids of chunks that a worker has met.
 _MOST_KNOWN = 400_000
 
 
@@ -164,9 +163,7 @@ class _Words(dict):
 
 
 def words_for(path: str) -> _Words:
-    if _WORKER.get("path") != path:
-        _WORKER.update(path=path, words=_Words(path))
-    return _WORKER["words"]
+    return kept(("packing", path), lambda: _Words(path))
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -193,6 +190,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
+            trimmed()
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 rows: list[tuple[int, int, int, int, int]] = []

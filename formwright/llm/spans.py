@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formwright.llm.common import SPACE, ids, mix, named, utf8
+from formwright.llm.common import SPACE, ids, kept, mix, named, trimmed, utf8
 
 _U = np.uint64
 _BASE, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -286,6 +286,7 @@ def _runs(sorted_key: np.ndarray) -> np.ndarray:
 
 def _sketch(rule: Rule, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def sketch(table: pa.Table, replies: pa.Table) -> pa.Table:
+        kept("spans", dict)  # what a stage before has left goes
         if not table.num_rows:
             return _messages(np.zeros(0, np.int64), 0, [np.zeros(0, np.uint64)])
         key, doc = [], []
@@ -497,6 +498,7 @@ def _covered(rule: Rule, graph: _Graph, own_h: np.ndarray, own_doc: np.ndarray,
 
 def _documents(rule: Rule, parts: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def documents(table: pa.Table, replies: pa.Table) -> pa.Table:
+        trimmed()
         graph, copies = _Graph(replies), copies_in(table, replies)
         # slices of words are kept for the second look, at some 50 bytes a word; those of bytes would take too much
         own = list(slices(table, rule, copies)) if rule.words else None
