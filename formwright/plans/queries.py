@@ -15,6 +15,7 @@ from formwright.operators.shape import Shaped
 from formwright.plans.spec import Column, Drift, Output, Spec
 from formwright.session import prepared, shared_folder
 from formwright.sources import lines
+from formwright.sources.files import Files
 from formwright.sources.lines import records
 from formwright.sources.table import Table
 
@@ -224,9 +225,14 @@ def jsonl_file(spark, sf_dir):
 
 @query("q_json_array", "SELECT row_number() OVER (ORDER BY o_orderkey) AS index, o_orderkey AS id FROM orders")
 def json_array(spark, sf_dir):
-    path = f"{scratch(spark)}/array"
-    j = as_json(table(spark, sf_dir, "orders"), "o_orderkey", id=F.col("o_orderkey"), s=F.lit('a,"]'))
-    j.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "raw"))), lambda x: x.raw), ",\n"), F.lit("]")).alias("value")).write.text(path)
+    top, files = scratch(spark), Files(spark)
+    path, o = f"{top}/array.json", table(spark, sf_dir, "orders")
+    j, least = as_json(o, "o_orderkey", id=F.col("o_orderkey"), s=F.lit('a,"]')), o.agg(F.min("o_orderkey")).first()[0]
+    # all tasks write a part in order, and the parts are joined as they are
+    j.repartitionByRange("seq").sortWithinPartitions("seq").select(F.when(F.col("seq") == least, F.col("raw")).otherwise(F.concat(F.lit(","), "raw"))).write.text(f"{top}/parts")
+    files.write(f"{top}/begin", b"[\n")
+    files.write(f"{top}/end", b"]\n")
+    files.concatenate([f"{top}/begin", *files.walk(f"{top}/parts", ".txt"), f"{top}/end"], path)
     return lines.json_array(spark, path).good.select(F.col("seq").alias("index"), F.try_variant_get("v", "$.id", "bigint").alias("id"))
 
 

@@ -9,9 +9,10 @@ import sys
 import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import batched
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,15 +174,210 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPLIT = pa.schema([("seq", pa.int64()), ("raw", pa.string()), ("error", pa.string())])
 
 
+_SCAN = re.compile(r'"(?:[^"\\]|\\.)*("?)|[\[\]{},]', re.S)
+_STRING = re.compile(r'(?:[^"\\]|\\.)*("?)', re.S)
+_OUTLINE = "f long, s long, inside boolean, bytes long, head string, closed boolean, delta long, low long, levels array<long>, counts array<long>, size long"
+_PARTS = "f long, seq long, s long, raw string, error string, kind string"
+_ENDS = {",": "missing element in the array", "]": "trailing comma in the array", "}": "stray `}` in the array"}
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, str]]:
+    """(file, block, size of the file, text) of pieces between commas, in order. Each has the comma before it, but for a file's first."""
+    for batch in batches:
+        f, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = [0, *(1 + i for i in range(len(f) - 1) if f[i] != f[i + 1] or s[i] != s[i + 1])] if len(f) and (f[0] != f[-1] or s[0] != s[-1] or f.min() != f.max() or s.min() != s.max()) else [0]
+        for lo, hi in zip(cuts, [*cuts[1:], len(f)], strict=True):
+            if hi > lo:
+                yield int(f[lo]), int(s[lo]), batch.column(2)[lo].as_py(), "," + ",".join(batch.column(3).slice(lo, hi - lo).to_pylist())
+
+
+def _headed(text: str) -> tuple[str | None, str]:
+    """What is wrong with a file's first text, and what follows its bracket."""
+    body = text[1:].lstrip("\ufeff \t\r\n")
+    return (None, body[1:]) if body.startswith("[") else ("input is not a JSON array" if body else "input is empty", body)
+
+
+def _tokens(text: str, inside: bool) -> Iterator[tuple[str, int, bool]]:
+    """(bracket or comma, place, False); at the end ("", length, whether a string is open)."""
+    at = 0
+    if inside:
+        m = _STRING.match(text)
+        at, inside = m.end(), not m.group(1)
+    if not inside:
+        for m in _SCAN.finditer(text, at):
+            c = m.group()
+            if c[0] != '"':
+                yield c, m.start(), False
+            else:
+                inside = not m.group(1)
+    yield "", len(text), inside
+
+
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, for both states it can begin in: how brackets go on, and the commas at the lowest depth so far, by that depth."""
+    got: dict[tuple[int, int, bool], dict] = {}
+    for f, s, size, text in _blocks(batches):
+        n, head, first = len(text.encode("utf-8", "surrogatepass")), None, s == 0 and (f, s, False) not in got
+        if first:
+            head, text = _headed(text)
+            if head is None and text.lstrip(" \t\r\n").startswith("]"):
+                head = "]"  # an array without elements
+        for inside in (False, True):
+            o = got.setdefault((f, s, inside), {"f": f, "s": s, "inside": inside, "bytes": 0, "head": head, "closed": inside, "delta": 0, "low": 0, "n": {}, "size": size})
+            o["bytes"] += n
+            depth, low, counts = o["delta"], o["low"], o["n"]
+            for c, _, open_ in _tokens(text, o["closed"]):
+                if c == ",":
+                    if depth == low:
+                        counts[low] = counts.get(low, 0) + 1
+                elif c in ("[", "{"):
+                    depth += 1
+                elif c:
+                    depth -= 1
+                    low = min(low, depth)
+                else:
+                    o["closed"] = open_
+            o["delta"], o["low"] = depth, low
+    rows = [{k: v for k, v in o.items() if k != "n"} | {"levels": list(o["n"]), "counts": list(o["n"].values())} for o in got.values()]
+    longs = ("f", "s", "bytes", "delta", "low", "size")
+    kinds = {**dict.fromkeys(longs, pa.int64()), "inside": pa.bool_(), "closed": pa.bool_(), "head": pa.string(), "levels": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+    names = [x.split(" ")[0] for x in _OUTLINE.split(", ")]
+    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, kinds[n]) for n in names]))
+
+
+def _cut(plan: dict[tuple[int, int], tuple[bool, int, int, bool, bool, bool]]):
+    """plan: of a block, whether it begins in a string, its depth and element, and whether the array was over, whether the file ends
+    with it, and whether in a comma. Elements come whole, or in fragments (kind: what ended it, + if that is in a later block)."""
+    schema = pa.schema([("f", pa.int64()), ("seq", pa.int64()), ("s", pa.int64()), ("raw", pa.string()), ("error", pa.string()), ("kind", pa.string())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, buffer, inside, depth, seq, over, whole = None, [], False, 0, 0, False, False
+
+        def finished():
+            if at is None or over:
+                return
+            last, comma = plan[at][4:]
+            if not last:
+                yield at[0], seq, at[1], "".join(buffer), None, "+"
+            elif comma and not inside and depth == 0:
+                # the file's last comma parts elements
+                yield at[0], seq, at[1], "".join(buffer), None, ","
+                yield at[0], seq + 1, at[1], "", None, "open"
+            else:
+                yield at[0], seq, at[1], "".join(buffer) + ("," if comma else ""), None, "open"
+
+        for f, s, _, text in _blocks(batches):
+            if (f, s) != at:
+                yield from finished()
+                at, buffer = (f, s), []
+                inside, depth, seq, over = plan[at][:4]
+                whole = s == 0
+                if over:
+                    yield f, seq + 1, s, None, "trailing content after the array", None
+                if s == 0:
+                    text = _headed(text)[1]
+            elif over:
+                if over == "]":
+                    over = True
+                    yield f, seq + 1, s, None, "trailing content after the array", None
+            if over:
+                continue
+            begin = 0
+            for c, place, open_ in _tokens(text, inside):
+                if not c:
+                    inside = open_
+                    buffer.append(text[begin:])
+                elif c in "[{":
+                    depth += 1
+                elif c in "]}" and depth:
+                    depth -= 1
+                elif not depth:
+                    part = "".join(buffer) + text[begin:place]
+                    buffer, begin = [], place + 1
+                    if c == "}":
+                        yield f, seq, s, None, _ENDS[c], None
+                    elif not whole:
+                        yield f, seq, s, part, None, c
+                    elif part := part.strip(" \t\r\n"):
+                        yield f, seq, s, part, None, None
+                    elif c == "," or seq > 1:
+                        yield f, seq, s, None, _ENDS[c], None
+                    whole = True
+                    if c == ",":
+                        seq += 1
+                    else:
+                        over = c
+                        if c == "]" and (text[begin:].strip(" \t\r\n") or plan[at][5]):
+                            over = True
+                            yield f, seq + 1, s, None, "trailing content after the array", None
+                        break
+        yield from finished()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batched(rows(batches), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
+    return cut
+
+
+def _array_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(f, seq, raw, error) of files that each hold one array, in blocks that are cut by all tasks.
+
+    Files are read as pieces between commas, so that Spark may split them anywhere. A first pass outlines each block for both states it
+    can begin in, in a string or not; the driver goes through these, one row or two for each block, and tells each block its state.
+    A second pass cuts. Elements that go on in another block are put together by their number.
+    """
+    files = spark.read.option("lineSep", ",").text(path)
+    own = files.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.col("_metadata.file_size").alias("size"), "value")
+    seen: dict[int, dict[int, dict[bool, Row]]] = {}
+    for r in own.mapInArrow(_outline, _OUTLINE).collect():
+        seen.setdefault(r.f, {}).setdefault(r.s, {})[r.inside] = r
+    if not seen:
+        raise SourceError("input is empty")
+    plan = {}
+    for f, blocks in seen.items():
+        inside, depth, seq, over = False, 0, 1, False
+        # a comma at the very end is no piece; a mark of byte order may have been left out
+        missing = blocks[0][False].size - sum(b[False].bytes for b in blocks.values()) + 1
+        for k, s in enumerate(sorted(blocks)):
+            r = blocks[s][inside]
+            if r.head == "]":
+                seq = 0
+            elif r.head:
+                raise SourceError(r.head)
+            plan[f, s] = (inside, depth, seq, over, k == len(blocks) - 1, k == len(blocks) - 1 and missing in (1, 4))
+            if not over:
+                seq += dict(zip(r.levels, r.counts, strict=True)).get(-depth, 0)
+                over = depth + r.low < 0
+                inside, depth = r.closed, depth + r.delta
+    parts = own.mapInArrow(_cut(plan), _PARTS)
+    ends = parts.where("kind is not null").groupBy("f", "seq").agg(F.sort_array(F.collect_list(F.struct("s", "raw", "kind"))).alias("x"))
+    joined = ends.select("f", "seq", F.expr(r"trim(BOTH ' \t\r\n' FROM array_join(transform(x, y -> y.raw), ''))").alias("raw"), F.expr("element_at(x, -1).kind").alias("kind"))
+    error = F.when(F.col("kind") == "open", F.concat(F.lit("the array is truncated"), F.when(F.col("raw") != "", " in an element").otherwise("")))
+    error = error.when((F.col("raw") == "") & ((F.col("kind") == ",") | (F.col("seq") > 1)), F.when(F.col("kind") == ",", _ENDS[","]).otherwise(_ENDS["]"]))
+    # what stands before a stray bracket is told by its error alone
+    joined = joined.where("kind <> '+'").select("f", "seq", F.when(error.isNull(), F.col("raw")).alias("raw"), error.alias("error")).where("error is not null or raw <> ''")
+    parts = parts.where("kind is null").select("f", "seq", "raw", "error").unionAll(joined)
+    # an error ends a file's array: what follows it counts no more
+    first = {r.f: r.seq for r in parts.where("error is not null").groupBy("f").agg(F.min("seq").alias("seq")).collect()}
+    if first:
+        table = spark.createDataFrame(list(first.items()), "f long, _first long")
+        kept = parts.join(F.broadcast(table), "f", "left")
+        faults = kept.where("error is not null and seq = _first").groupBy("f", "seq").agg(F.lit(None).cast("string").alias("raw"), F.min("error").alias("error"))
+        parts = kept.where("error is null and (_first is null or seq < _first)").select("f", "seq", "raw", "error").unionAll(faults)
+    return parts
+
+
 def json_array(spark: SparkSession, path: str | None = None, text: str | None = None, most_bytes: int = MOST_BYTES) -> Records:
     """Records of files that each hold one array; seq is the element's index. A file that is no array raises."""
-    whole = spark.createDataFrame([(text,)], "value string") if text is not None else spark.read.text(path, wholetext=True)
-    # an array is one document: its cutting is one task, all that follows is spread
-    parts = whole.select("value").mapInArrow(_split, "seq long, raw string, error string")
-    head = parts.where("seq = 0").select("error").first()
-    if head:
-        raise SourceError(head.error)
-    parts = parts.repartition(spark.sparkContext.defaultParallelism)
+    if text is None:
+        parts = _array_parts(spark, path)
+    else:
+        parts = spark.createDataFrame([(text,)], "value string").mapInArrow(_split, "seq long, raw string, error string")
+        head = parts.where("seq = 0").select("error").first()
+        if head:
+            raise SourceError(head.error)
+        parts = parts.repartition(spark.sparkContext.defaultParallelism)
     got = records(parts.where("error is null").select("seq", "raw"), most_bytes)
     broken = parts.where("error is not null").select(F.col("seq").alias("line"), "error", F.lit("").alias("raw"))
     return Records(got.good, got.bad.unionAll(broken), got.lines, most_bytes, broken)
