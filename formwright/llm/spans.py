@@ -20,7 +20,7 @@ Texts that are whole copies of a smaller document's are left out beforehand: all
 4. Each bucket marks the covered tokens of its documents and gives one row per document.
 
 Memory: a task holds one bucket's text (``bucket_bytes``) or one range's messages, and works through a bucket in slices of
-a quarter of a megabyte (a longer document is a slice of its own). Hashes have 64 bits where they decide: XXH64 of a
+some 120,000 bytes (a longer document is a slice of its own). Hashes have 64 bits where they decide: XXH64 of a
 word, and a polynomial modulo 2^64 over at most some 80 tokens. Two different sequences are confused with
 probability 2^-64 a pair, or up to 2^-37 where they alternate two words in the one pattern that weakens such polynomials.
 """
@@ -121,6 +121,20 @@ def stretch(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def _all_stretches(sums: np.ndarray, k: int) -> np.ndarray:
+    """``stretch`` of all stretches of k tokens, in their order."""
+    x = sums[k:] - sums[:-k]
+    x *= _powers(len(sums))[1][: len(x)]
+    x += _U(k)
+    y = x >> _U(30)  # mix, in place
+    for bits, factor in ((27, 0xBF58476D1CE4E5B9), (31, 0x94D049BB133111EB)):
+        x ^= y
+        x *= _U(factor)
+        np.right_shift(x, _U(bits), out=y)
+    x ^= y
+    return x
+
+
 @dataclass(frozen=True)
 class Rule:
     """What a token is, and how long windows and anchors are."""
@@ -128,7 +142,7 @@ class Rule:
     words: bool
     width: int = 50
     k: int = 20
-    slice_bytes: int = 250_000
+    slice_bytes: int = 120_000
 
     @property
     def span(self) -> int:
@@ -145,17 +159,21 @@ class Slice:
     first: np.ndarray  # per document: its first token, and one behind its last
     last: np.ndarray
     sums: np.ndarray  # running hash sums over the tokens
-    text: memoryview
     base: int  # where the slice's text begins
     token_at: np.ndarray | None  # words: byte start and end of each
     token_to: np.ndarray | None
     starts: np.ndarray  # of windows, all within a document
-    of: np.ndarray  # the document of each window
-    anchor_of: np.ndarray  # of each window, as an index into anchors
+    count: np.ndarray  # of windows per document
+    mark: np.ndarray  # per token, and one behind the last: does an anchor begin there
+    named: np.ndarray  # the token at which each window's anchor begins
     anchors: np.ndarray  # token positions, ascending
     hashes: np.ndarray  # of the anchors
     anchor_doc: np.ndarray
 
+    def of(self, windows: np.ndarray) -> np.ndarray:
+        """The documents' ids of windows, given by ascending number."""
+        return self.doc[np.searchsorted(np.cumsum(self.count), windows, side="right")]
+
 
 def copies_in(table: pa.Table, replies: pa.Table) -> np.ndarray:
     """Which rows have the very text of a document with a smaller id: all their windows are found there, so they need
@@ -215,25 +233,28 @@ def _slice(rows, doc, null, start, end, data, rule: Rule) -> Slice:
     sums = prefix(codes)
     n = len(codes)
     count = np.where(null, 0, np.maximum(0, last - first - rule.width + 1))
-    of = np.repeat(np.arange(len(doc)), count)
-    starts = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    starts = np.arange(int(count.sum())) + np.repeat(first - np.cumsum(count) + count, count)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return Slice(rows, doc, null, first, last, sums, data, base, token_at, token_to, none, none, none, none, np.zeros(0, np.uint64), none)
-    at = np.arange(n - rule.k + 1)
-    h = stretch(sums, at, at + rule.k)
+        return Slice(rows, doc, null, first, last, sums, base, token_at, token_to, none, count, np.zeros(n + 1, bool), none, none, np.zeros(0, np.uint64), none)
+    h = _all_stretches(sums, rule.k)
     bits = _U(max(1, int(n).bit_length()))
-    low = (h >> bits << bits) | at.astype(np.uint64)
+    low = h >> bits
+    low <<= bits
+    low |= np.arange(len(h), dtype=np.uint64)
     done = 1
     while done * 2 <= rule.span:
         low = np.minimum(low[:-done], low[done:])
         done *= 2
     if done < rule.span:
         low = np.minimum(low[: len(low) - (rule.span - done)], low[rule.span - done :])
-    named = (low[starts] & ((_U(1) << bits) - _U(1))).astype(np.int64)
-    anchors = np.flatnonzero(np.bincount(named, minlength=1))
-    anchor_of = np.searchsorted(anchors, named)
-    return Slice(rows, doc, null, first, last, sums, data, base, token_at, token_to, starts, of, anchor_of, anchors, h[anchors], np.searchsorted(first, anchors, side="right") - 1)
+    low = low[starts]
+    low &= (_U(1) << bits) - _U(1)
+    named = low.view(np.int64)
+    mark = np.zeros(n + 1, bool)
+    mark[named] = True
+    anchors = np.flatnonzero(mark)
+    return Slice(rows, doc, null, first, last, sums, base, token_at, token_to, starts, count, mark, named, anchors, h[anchors], np.searchsorted(first, anchors, side="right") - 1)
 
 
 def _deal(key: np.ndarray, parts: int) -> np.ndarray:
@@ -418,14 +439,15 @@ class _Graph:
         ways, low = np.where(there, self.ways[at], 0), self.low[at]
         joined = np.zeros(len(s.anchors), bool)  # to the anchor before
         joined[1:] = (s.anchor_doc[1:] == s.anchor_doc[:-1]) & there[1:] & there[:-1] & (ways[:-1] & 1 > 0) & (ways[1:] & 2 > 0)
-        path = np.cumsum(~joined)
-        a = np.searchsorted(s.anchors, s.starts, side="right") - 1
-        b = np.searchsorted(s.anchors, s.starts + rule.width - rule.k)
-        inside = (a >= 0) & (b < len(s.anchors))
-        inside &= path[np.maximum(a, 0)] == path[np.minimum(b, len(path) - 1)]
+        path = np.cumsum(~joined, dtype=np.int32)
+        rank = np.cumsum(s.mark, dtype=np.int32)  # anchors up to each token
+        before = np.concatenate([[0], path])[rank]  # the path of the last anchor up to each token, or 0
+        behind = np.concatenate([path, [0]])[rank - s.mark]  # of the first one from each token on
+        own = rank[s.named] - 1
+        inside = before[s.starts]
         # the first and last anchor must be of the path that the window's own anchor is on
-        inside &= path[np.maximum(a, 0)] == path[s.anchor_of]
-        return there[s.anchor_of], inside, low[s.anchor_of]
+        inside = (inside == behind[s.starts + (rule.width - rule.k)]) & (inside == path[own])
+        return there[own], inside, low[own]
 
 
 def _windows(rule: Rule, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -434,7 +456,8 @@ def _windows(rule: Rule, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]
         if not table.num_rows:
             return none
         graph = _Graph(replies)
-        h, doc = _own_windows(slices(table, rule, copies_in(table, replies)), rule, graph)
+        own = slices(table, rule, copies_in(table, replies)) if len(graph.h) else ()
+        h, doc = _own_windows(_open(s, rule, graph.windows(s, rule))[1:] for s in own)
         return _by_document(h, doc, parts, table.column("bucket")[0].as_py(), []) if len(h) else none
 
     return windows
@@ -443,19 +466,17 @@ def _windows(rule: Rule, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]
 def _open(s: Slice, rule: Rule, told: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     repeated, inside, _ = told
     at = np.flatnonzero(repeated & ~inside)
-    return at, stretch(s.sums, s.starts[at], s.starts[at] + rule.width), s.doc[s.of[at]]
+    return at, stretch(s.sums, s.starts[at], s.starts[at] + rule.width), s.of(at)
 
 
-def _own_windows(own: Iterable[Slice], rule: Rule, graph: _Graph) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a bucket's open windows, ascending, each with its smallest document in the bucket."""
+def _own_windows(found: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a bucket's open windows, ascending, each with its smallest document in the bucket. found: those of each slice."""
     hs, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    if len(graph.h):
-        for s in own:
-            _, h, doc = _open(s, rule, graph.windows(s, rule))
-            order = np.lexsort((doc, h))
-            at = _runs(h[order])
-            hs.append(h[order][at])
-            docs.append(doc[order][at])
+    for h, doc in found:
+        order = np.lexsort((doc, h))
+        at = _runs(h[order])
+        hs.append(h[order][at])
+        docs.append(doc[order][at])
     h, doc = np.concatenate(hs), np.concatenate(docs)
     order = np.lexsort((doc, h))
     at = _runs(h[order])
@@ -480,29 +501,60 @@ def _smallest(table: pa.Table) -> pa.Table:
 # 4: the documents
 
 
-def _covered(rule: Rule, graph: _Graph, own_h: np.ndarray, own_doc: np.ndarray, elsewhere: np.ndarray, s: Slice) -> np.ndarray:
-    """Which tokens of the slice go. elsewhere: of the bucket's open windows, those with a smaller document elsewhere."""
-    out = np.zeros(len(s.sums), np.int64)
+@dataclass
+class _Look:
+    """What is kept of a slice until the answers are read: a bit per token, and 12 bytes for each open window."""
+
+    rows: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    base: int
+    token_at: np.ndarray | None
+    token_to: np.ndarray | None
+    n: int  # of tokens
+    gone: np.ndarray | None  # bits: does a window begin here that lies inside a path and repeats
+    at: np.ndarray  # the token at which each open window begins
+    h: np.ndarray
+
+    def doc_of(self) -> np.ndarray:
+        return self.doc[np.searchsorted(self.first, self.at, side="right") - 1]
+
+    def covered(self, rule: Rule, own_h: np.ndarray, own_doc: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+        """Which tokens of the slice go. elsewhere: of the bucket's open windows, those with a smaller document elsewhere."""
+        i = np.searchsorted(own_h, self.h)
+        start = self.at[elsewhere[i] | (own_doc[i] < self.doc_of())] if len(i) else self.at
+        if self.gone is not None:
+            start = np.concatenate([start, np.flatnonzero(np.unpackbits(self.gone, count=self.n))])
+        if not len(start):
+            return np.zeros(self.n, bool)
+        out = np.zeros(self.n + 1, np.int8)  # a token begins one window at most, and ends one
+        out[start] += 1
+        out[start + rule.width] -= 1
+        return np.cumsum(out, dtype=np.int32)[:-1] > 0
+
+
+def _look(s: Slice, rule: Rule, graph: _Graph) -> _Look:
+    gone, at, h = None, np.zeros(0, np.int32), np.zeros(0, np.uint64)
     if len(s.starts) and len(graph.h):
-        told = graph.windows(s, rule)
-        repeated, inside, low = told
-        gone = repeated & inside & (low < s.doc[s.of])
-        at, h, doc = _open(s, rule, told)
-        i = np.searchsorted(own_h, h)
-        gone[at] = elsewhere[i] | (own_doc[i] < doc)
-        start = s.starts[gone]
-        np.add.at(out, start, 1)
-        np.add.at(out, start + rule.width, -1)
-    return np.cumsum(out)[:-1] > 0
+        told = repeated, inside, low = graph.windows(s, rule)
+        inner = s.starts[repeated & inside & (low < np.repeat(s.doc, s.count))]
+        if len(inner):
+            begins = np.zeros(len(s.sums) - 1, bool)
+            begins[inner] = True
+            gone = np.packbits(begins)
+        at, h, _ = _open(s, rule, told)
+        at = s.starts[at].astype(np.int32)
+    small = (x if x is None else x.astype(np.int32) for x in (s.token_at, s.token_to))
+    return _Look(s.rows, s.doc, s.first, s.last, s.base, *small, len(s.sums) - 1, gone, at, h)
 
 
 def _documents(rule: Rule, parts: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def documents(table: pa.Table, replies: pa.Table) -> pa.Table:
         trimmed()
         graph, copies = _Graph(replies), copies_in(table, replies)
-        # slices of words are kept for the second look, at some 50 bytes a word; those of bytes would take too much
-        own = list(slices(table, rule, copies)) if rule.words else None
-        own_h, own_doc = _own_windows(own or slices(table, rule, copies), rule, graph)
+        own = [_look(s, rule, graph) for s in slices(table, rule, copies)]
+        own_h, own_doc = _own_windows((s.h, s.doc_of()) for s in own)
         elsewhere = np.zeros(len(own_h), bool)
         part = _deal(own_h, parts)
         asked = np.lexsort((own_h, own_doc, part))
@@ -515,28 +567,26 @@ def _documents(rule: Rule, parts: int, with_text: bool) -> Callable[[pa.Table, p
         n, removed, spans, sha, texts = [], [], [], [], []
         whole, until, data = utf8(table.column("text"))
         nothing = table.column("text").is_null().to_numpy()
-        for s in own or slices(table, rule, copies):
-            gone = _covered(rule, graph, own_h, own_doc, elsewhere, s)
+        for s in own:
+            gone = s.covered(rule, own_h, own_doc, elsewhere)
             for i, f, t in zip(s.rows.tolist(), s.first.tolist(), s.last.tolist(), strict=True):
                 if copies[i] and t - f >= rule.width:
                     gone[f:t] = True
-            edges = np.diff(gone.astype(np.int8), prepend=0)
-            lost = np.concatenate([[0], np.cumsum(gone)])
             for i, f, t in zip(s.rows.tolist(), s.first.tolist(), s.last.tolist(), strict=True):
-                k = int(lost[t] - lost[f])
                 begin = int(whole[i])
                 here = gone[f:t]
+                k = int(np.count_nonzero(here))
                 if rule.words:
                     # the text of a stretch that stays is cut where its words were
                     turns = np.flatnonzero(np.diff(here.astype(np.int8), prepend=1, append=1)).tolist()
                     stay = zip(turns[::2], turns[1::2], strict=True)
-                    kept = b" ".join(w for a, b in stay for w in bytes(s.text[s.base + int(s.token_at[f + a]) : s.base + int(s.token_to[f + b - 1])]).split())
+                    kept = b" ".join(w for a, b in stay for w in bytes(data[s.base + int(s.token_at[f + a]) : s.base + int(s.token_to[f + b - 1])]).split())
                 else:
-                    raw = np.frombuffer(s.text, np.uint8, t - f, begin) if t > f else np.zeros(0, np.uint8)
+                    raw = np.frombuffer(data, np.uint8, t - f, begin) if t > f else np.zeros(0, np.uint8)
                     kept = (raw[~here] if k else raw).tobytes()
                 n.append(t - f)
                 removed.append(k)
-                spans.append(int((edges[f:t] > 0).sum()) + int(f > 0 and gone[f] and gone[f - 1]) if k else 0)
+                spans.append(int(np.count_nonzero(here[1:] & ~here[:-1])) + int(here[0]) if k else 0)
                 sha.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
                     texts.append(None if nothing[i] else kept if k else bytes(data[begin : int(until[i])]))
